@@ -1,0 +1,6 @@
+"""The query catalogue over the provided tables, with the SQL each must agree with."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
