@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, packing, token_count
+from . import exact_dedup, line_dedup, mixing, packing, token_count, vector_search, warc
 from .common import P
 
 
@@ -37,11 +37,19 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col(P + "n_lines").alias("n_lines"), F.col(P + "n_dropped").alias("n_dropped"), F.sha2(P + "kept", 256).alias("kept_sha256"))
 
 
+def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_documents, op2_mix_sources, op3_exact_dedup, op5_line_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_pack_documents, op2_mix_sources, op3_exact_dedup, op5_line_dedup, op7_warc_round_trip, op8_vector_search, op10_token_counts)}
 
 SQL = {
     "op2_mix_sources": """
@@ -74,4 +82,20 @@ m AS (SELECT l.doc_id, line, pos, coalesce(k.owner < l.doc_id, false) AS gone FR
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op7_warc_round_trip": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(hex, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT)) AS v FROM p),
+a AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' AS alphabet)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(v, lambda x: substr(alphabet, (x >> 15) % 32 + 1, 1) || substr(alphabet, (x >> 10) % 32 + 1, 1) || substr(alphabet, (x >> 5) % 32 + 1, 1) || substr(alphabet, x % 32 + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = min(page_id) OVER (PARTITION BY hex) THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> min(page_id) OVER (PARTITION BY hex) THEN min(page_id) OVER (PARTITION BY hex) END AS refers_to
+FROM b, a""",
+    "op8_vector_search": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
 }
