@@ -25,7 +25,7 @@ CAPACITY = 4096
 #: Pieces packed together at level one, at most: bounds a task's memory.
 WINDOW = 200_000
 #: Chunks of text remembered by a worker, and the longest of them in characters.
-CACHE, REMEMBER = 500_000, 64
+CACHE, REMEMBER = 800_000, 64
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,53 +113,117 @@ def pack(pieces: DataFrame, size_col: str = "length", capacity: int = CAPACITY)
 class _Tokens:
     """Little-endian unsigned 32-bit ids of whole texts, through a memory of the library's answers for chunks.
 
-    The vocabulary's splitting never crosses a space, so a text's ids are those of its chunks in order. Where
-    it is certain to change nothing, texts are lowered first (the vocabulary does it anyway) and a comma or
-    full stop after a letter or digit and before a space is a chunk of its own, which makes chunks repeat.
+    The vocabulary's splitting never crosses a space, so a text's ids are those of its chunks in order. Of
+    chunks not seen before, those of letters go to the library as one text with spaces between; a token that
+    ends a word tells where the next begins. A comma or full stop after letters is a token of its own, and
+    ASCII letters are lowered by the vocabulary, so such chunks follow from their lowered letters.
     """
 
     def __init__(self, path: str):
+        import json
         import os
-        import re
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
-        self.plain = "lowercase" in repr(self.library.normalizer).lower()
-        self.odd = re.compile(r"[^\w\s][.,](?:[ \n]|\Z)|<\||\u03a3|['_]").search
-
-    def chunks(self, text: str) -> list[str]:
-        if self.plain and not self.odd(text):
-            return text.lower().replace("\n", " ").replace(", ", " , ").replace(". ", " . ").split(" ")
-        return text.replace("\n", " ").split(" ")
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.words = bool(suffix) and "Lowercase" in json.dumps(spec["normalizer"])
+        if self.words:
+            vocab = self.library.get_vocab(with_added_tokens=False)
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+            self.stops = {c: self.each([c])[0] for c in ",."}
+
+    def each(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def of_letters(self, chunks: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for k in range(0, len(chunks), 1024):
+            some = chunks[k : k + 1024]
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stop = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist() if len(ids) and ids.max() < len(self.ends) else []
+            if len(stop) == len(some):
+                data = ids.tobytes()
+                out += [data[a:b] for a, b in zip([0, *stop], stop)]
+            else:
+                out += self.each(some)
+        return out
+
+    def learn(self, new: set[str]) -> dict[str, bytes]:
+        """Put chunks that are not known yet among the known; those too long to remember are returned."""
+        known = self.known
+        letters, rest, derived = set(), [], []
+        for c in new:
+            stem = c[:-1] if c[-1] in ",." else c
+            if not self.words or len(c) > REMEMBER or not stem.isalpha():
+                rest.append(c)
+                continue
+            if stem.isascii():
+                stem = stem.lower()
+            if stem not in known:
+                letters.add(stem)
+            if stem is not c:
+                derived.append((c, stem))
+        letters = list(letters)
+        known.update(zip(letters, self.of_letters(letters)))
+        for c, stem in derived:
+            known[c] = known[stem] + self.stops[c[-1]] if c[-1] in ",." else known[stem]
+        long: dict[str, bytes] = {}
+        for k in range(0, len(rest), 4096):
+            for c, x in zip(rest[k : k + 4096], self.each(rest[k : k + 4096])):
+                (known if len(c) <= REMEMBER else long)[c] = x
+        return long
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that are not long all together."""
         known = self.known
         if len(known) > CACHE:
             known.clear()
             known[""] = b""
-        parts = [self.chunks(t) for t in texts]
-        new = [c for c in set().union(*parts) if c not in known]
-        extra: dict[str, bytes] = {}
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for chunk, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                (known if len(chunk) <= REMEMBER else extra)[chunk] = np.array(e.ids, "<u4").tobytes()
-        if extra:
-            known = known | extra if len(extra) > len(known) else _Two(known, extra)
-        get = known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
-
-
-class _Two:
-    def __init__(self, one, two):
-        self.one, self.two = one, two
-
-    def __getitem__(self, key):
-        value = self.one.get(key)
-        return self.two[key] if value is None else value
+        rows, holes = [], []
+        for t in texts:
+            chunks = t.replace("\n", " ").split(" ")
+            found = list(map(known.get, chunks))
+            i = -1
+            try:
+                while True:
+                    i = found.index(None, i + 1)
+                    holes.append((found, i, chunks[i]))
+            except ValueError:
+                rows.append(found)
+        long = self.learn({c for _, _, c in holes})
+        for found, i, c in holes:
+            found[i] = long[c] if c in long else known[c]
+        return [b"".join(r) for r in rows]
+
+
+def _portions(texts: list[str | None], most: int = 1 << 20):
+    """(first, count, parts): runs of whole texts of some ``most`` characters, or parts of one longer text, cut at spaces."""
+    first, held, size = 0, [], 0
+    for k, t in enumerate(texts):
+        t = t or ""
+        if held and size + len(t) > most:
+            yield first, len(held), held
+            held, size = [], 0
+        if len(t) > most:
+            parts, at = [], 0
+            while len(t) - at > most and (cut := t.find(" ", at + most)) >= 0:
+                parts.append(t[at:cut])
+                at = cut
+            yield k, 1, [*parts, t[at:]]
+            first = k + 1
+            continue
+        if not held:
+            first = k
+        held.append(t)
+        size += len(t)
+    if held:
+        yield first, len(held), held
 
 
 _tokens: dict[str, _Tokens] = {}
@@ -178,10 +242,10 @@ def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:
             ids = b.column(0)
-            texts = b.column(1).to_pylist()
-            for k in range(0, len(texts), 256):
+            for first, count, parts in _portions(b.column(1).to_pylist()):
+                tokens = _tokens[vocabulary].ids(parts) if len(parts) == count else [b"".join(x for p in parts for x in _tokens[vocabulary].ids([p]))]
                 rows, at = [], []
-                for i, x in enumerate(_tokens[vocabulary].ids([t or "" for t in texts[k : k + 256]]), k):
+                for i, x in enumerate(tokens, first):
                     x += end
                     for piece in range(-(-len(x) // step)):
                         part = x[piece * step : (piece + 1) * step]
