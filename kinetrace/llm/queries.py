@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, near_dedup, packing, token_count, vector_search, warc
+from . import exact_dedup, line_dedup, mixing, near_dedup, packing, quality, token_count, toxicity, vector_search, warc
 from .common import P
 
 
@@ -41,6 +41,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col(P + "n_lines").alias("n_lines"), F.col(P + "n_dropped").alias("n_dropped"), F.sha2(P + "kept", 256).alias("kept_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -49,11 +53,19 @@ def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_documents, op2_mix_sources, op3_exact_dedup, op4_near_dedup, op5_line_dedup, op7_warc_round_trip, op8_vector_search, op10_token_counts)}
+_ALL = (
+    op1_pack_documents, op2_mix_sources, op3_exact_dedup, op4_near_dedup, op5_line_dedup,
+    op6_toxicity, op7_warc_round_trip, op8_vector_search, op9_quality, op10_token_counts,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 SQL = {
     "op2_mix_sources": """

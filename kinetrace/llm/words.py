@@ -16,6 +16,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: For words of letters and digits: every ASCII byte that is neither parts them.
+MARKS = np.zeros(256, bool)
+MARKS[:128] = True
+MARKS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 
 
@@ -57,14 +61,18 @@ def slices(column: pa.Array, most: int = 1 << 21):
         at = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, document, start, end) of each word of the documents that ``offsets`` marks off in ``data``."""
+def words(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()):
+    """(hash, document, start, end) of each word of the documents that ``offsets`` marks off in ``data``.
+
+    A-Z are lowered; ``parts`` tells which bytes part words. With ``prefixes``, a list of the hashes of the
+    words' first so many bytes comes fifth (0 for shorter words).
+    """
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        return np.zeros(0, _U), none, none, none
+        return (np.zeros(0, _U), none, none, none, *[[np.zeros(0, _U) for _ in prefixes]] * bool(prefixes))
     ink = np.zeros(n + 2, bool)
-    ink[1:-1] = ~_SPACE[data]
+    ink[1:-1] = ~parts[data]
     begins = ink[1:-1] & ~ink[:-2]
     ends = ink[1:-1] & ~ink[2:]
     inner = offsets[1:-1]
@@ -75,11 +83,17 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     end = np.flatnonzero(ends) + 1
     power, inverse = _powers_to(n + 1)
     total = np.zeros(n + 1, _U)
-    np.cumsum((_LOWER[data] if lower else data).astype(_U) * power[:n], out=total[1:])
+    np.cumsum(_LOWER[data].astype(_U) * power[:n], out=total[1:])
     h = (total[end] - total[start]) * inverse[start]
     h = mix(h + _U(0x632BE59BD9B4E019) * (end - start).astype(_U))
     doc = np.searchsorted(offsets, start, "right") - 1
-    return h, doc, start, end
+    if not prefixes:
+        return h, doc, start, end
+    heads = []
+    for k in prefixes:
+        p = mix((total[np.minimum(start + k, n)] - total[start]) * inverse[start] + _U(0x2545F4914F6CDD1D) * _U(k))
+        heads.append(np.where(end - start >= k, p, _U(0)))
+    return h, doc, start, end, heads
 
 
 def shingles(h: np.ndarray, doc: np.ndarray, n_docs: int, size: int) -> tuple[np.ndarray, np.ndarray]:
