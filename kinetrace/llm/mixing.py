@@ -18,6 +18,8 @@ from .common import P, join_groups, stored, text_of
 
 WEIGHTS = (5, 2, 1)
 MOST_TURNS = 3
+#: Rules of sources (some 60 bytes each) sent to every task, at most.
+MAX_SENT = 100_000
 #: The hash has 60 bits; each level sums over this many of them.
 HASH_BITS, LEVEL_BITS = 60, 12
 
@@ -58,30 +60,66 @@ def targets(sizes: DataFrame, source: str = "source", weights: tuple[int, ...] =
     return t.select(source, "size", "weight", target.alias("target"))
 
 
+def _source_key(c: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
+
+
+def rules(rows: DataFrame, total: int, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TURNS) -> DataFrame:
+    """(source_key, docs, source_size, target, turns, threshold) of a stored table (source_key, src, size, h).
+
+    A document of the source is taken ``turns`` times, and once more if its hash is not above ``threshold``.
+    """
+    per = rows.groupBy("source_key", "src").agg(F.sum("size").alias("size"), F.count("*").alias("docs"))
+    per = stored(per, "sources")
+    plan = targets(per.select("src", "size"), "src", weights, most).withColumnRenamed("size", "source_size")
+    turns = F.least(F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))), F.lit(most)).cast("bigint")
+    plan = plan.withColumns({"turns": turns, "source_key": _source_key("src")}).withColumn("rest", F.col("target") - F.col("turns") * F.col("source_size"))
+    plan = stored(plan.join(per.select("source_key", "docs"), "source_key"), "plan")
+    found = _thresholds(rows, plan.select("source_key", "rest", "docs"), total)
+    out = plan.join(found, "source_key", "left").select("source_key", "docs", "source_size", "target", "turns", F.coalesce("threshold", F.lit(-1)).alias("threshold"))
+    return stored(out, "rules")
+
+
+def _sizes(docs: DataFrame, size: Column, id_col: str, source_col: str) -> DataFrame:
+    return docs.select(F.col(id_col), F.col(source_col).alias("src"), _source_key(source_col).alias("source_key"), size.alias("size"), fixed_hash(id_col).alias("h"))
+
+
+def _copies() -> Column:
+    return F.col("turns") + (F.col("h") <= F.col("threshold")).cast("bigint")
+
+
 def mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TURNS) -> DataFrame:
-    """One row a document: its id, ``size``, ``source_size``, ``target``, ``copies`` and ``taken = copies * size``.
+    """One row a document: its id, ``size``, ``source_size``, ``target``, ``taken = copies * size`` and ``copies``.
 
     A document's order is a hash of its id alone, so reruns agree and rows repeated with one id go together.
     Of the two whole-document sums next to the rest of a budget the nearer is taken, at a tie the smaller.
     A null source is a source of its own, after all others; empty and null texts have size 0; an empty table
     gives no rows. Other columns are not read.
     """
-    size = word_count(F.col(text_col)) if size is None else size
-    rows = stored(docs.select(F.col(id_col), F.col(source_col).alias("src"), size.alias("size"), fixed_hash(id_col).alias("h")), "sizes")
-    per = rows.groupBy("src").agg(F.sum("size").alias("size"), F.count("*").alias("docs"))
-    plan = targets(per.select("src", "size"), "src", weights, most)
-    turns = F.least(F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))), F.lit(most))
-    plan = plan.withColumnRenamed("size", "source_size").withColumn("turns", turns.cast("bigint"))
-    plan = plan.withColumn("rest", F.col("target") - F.col("turns") * F.col("source_size"))
-    plan = stored(plan.withColumn("source_key", F.coalesce(F.concat(F.lit("="), "src"), F.lit("null"))).join(
-        per.select(F.coalesce(F.concat(F.lit("="), "src"), F.lit("null")).alias("source_key"), "docs"), "source_key"), "plan")
-    keyed = rows.withColumn("source_key", F.coalesce(F.concat(F.lit("="), "src"), F.lit("null"))).drop("src")
+    rows = stored(_sizes(docs, word_count(F.col(text_col)) if size is None else size, id_col, source_col), "sizes")
+    total = rows.count()
+    out = join_groups(rows.drop("src"), rules(rows, total, weights, most), ["source_key"], "docs", total)
+    return out.withColumn("copies", _copies()).select(id_col, "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def mixed(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TURNS) -> DataFrame:
+    """The mix itself: each row of ``docs``, with all its columns, as often as ``mix`` takes it.
+
+    Texts do not move: the rules of up to ``MAX_SENT`` sources go to them.
+    """
+    rows = stored(_sizes(docs, word_count(F.col(text_col)) if size is None else size, id_col, source_col), "sizes")
     total = rows.count()
-    found = _thresholds(keyed, plan.select("source_key", "rest", "docs"), total)
-    rules = plan.select("source_key", "docs", "source_size", "target", "turns").join(found, "source_key", "left")
-    out = join_groups(keyed, rules, ["source_key"], "docs", total)
-    copies = F.col("turns") + (F.col("h") <= F.coalesce("threshold", F.lit(-1))).cast("bigint")
-    return out.withColumn("copies", copies).select(id_col, "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    found = rules(rows, total, weights, most).select("source_key", "docs", "turns", "threshold")
+    own = {"source_key": P + "source_key", "docs": P + "docs", "turns": P + "turns", "threshold": P + "threshold"}
+    named = docs.withColumns({P + "source_key": _source_key(source_col), P + "h": fixed_hash(id_col)})
+    found = found.withColumnsRenamed(own)
+    if found.count() <= MAX_SENT:
+        out = named.join(F.broadcast(found), P + "source_key")
+    else:
+        out = join_groups(named, found, [P + "source_key"], P + "docs", total)
+    copies = F.col(P + "turns") + (F.col(P + "h") <= F.col(P + "threshold")).cast("bigint")
+    out = out.where(copies > 0).withColumn(P + "copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
+    return out.select(*docs.columns)
 
 
 def _thresholds(rows: DataFrame, budgets: DataFrame, total: int) -> DataFrame:

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .features import STATISTICS, extracted, fold, sample
 
@@ -125,8 +126,7 @@ def scored(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: st
                 s = score(sent.value, stats, doc, bucket, times)
                 yield pa.RecordBatch.from_arrays([*b.slice(at, end - at).columns, pa.array(s.astype(np.float64))], [*b.schema.names, out])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, `{out}` double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
