@@ -25,7 +25,7 @@ CAPACITY = 4096
 #: Pieces packed together at level one, at most: bounds a task's memory.
 WINDOW = 200_000
 #: Chunks of text remembered by a worker, and the longest of them in characters.
-CACHE, REMEMBER = 800_000, 64
+CACHE, REMEMBER = 1_200_000, 64
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,15 +137,28 @@ class _Tokens:
             self.ends = np.zeros(max(vocab.values()) + 1, bool)
             self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
             self.stops = {c: self.each([c])[0] for c in ",."}
+            # for lowered letters, which normalising leaves as they are and which are one word each
+            from tokenizers import models, pre_tokenizers
+
+            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+            self.bare = Tokenizer(models.BPE(vocab=spec["model"]["vocab"], merges=merges, end_of_word_suffix=suffix))
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def each(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
 
+    @staticmethod
+    def settled(chunk: str) -> bool:
+        """Whether the library's normalising can do no more to it than lower the letters, one by one."""
+        import unicodedata
+
+        return unicodedata.is_normalized("NFC", chunk) and len(chunk.lower()) == len(chunk) and "\u03a3" not in chunk and unicodedata.is_normalized("NFC", chunk.lower()) and chunk.lower().rstrip(",.").isalpha()
+
     def of_letters(self, chunks: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for k in range(0, len(chunks), 1024):
             some = chunks[k : k + 1024]
-            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             stop = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist() if len(ids) and ids.max() < len(self.ends) else []
             if len(stop) == len(some):
                 data = ids.tobytes()
@@ -157,22 +170,23 @@ class _Tokens:
     def learn(self, new: set[str]) -> dict[str, bytes]:
         """Put chunks that are not known yet among the known; those too long to remember are returned."""
         known = self.known
-        letters, rest, derived = set(), [], []
-        for c in new:
-            stem = c[:-1] if c[-1] in ",." else c
-            if not self.words or len(c) > REMEMBER or not stem.isalpha():
-                rest.append(c)
-                continue
-            if stem.isascii():
-                stem = stem.lower()
-            if stem not in known:
-                letters.add(stem)
-            if stem is not c:
-                derived.append((c, stem))
-        letters = list(letters)
+        if not self.words:
+            rest, stems = list(new), {}
+        else:
+            fine = [c for c in new if c.isalpha() and len(c) <= REMEMBER]
+            other = new.difference(fine)
+            stopped = [c for c in other if c[-1] in ",." and len(c) <= REMEMBER and c[:-1].isalpha()]
+            stems = {c: c.lower() for c in fine} | {c: c[:-1].lower() for c in stopped}
+            # letters beyond ASCII may be changed by more than lowering
+            odd = [c for c in stems if not c.isascii() and not self.settled(c)]
+            rest = [*other.difference(stopped), *odd]
+            for c in odd:
+                del stems[c]
+        letters = list(set(stems.values()).difference(known))
         known.update(zip(letters, self.of_letters(letters)))
-        for c, stem in derived:
-            known[c] = known[stem] + self.stops[c[-1]] if c[-1] in ",." else known[stem]
+        for c, stem in stems.items():
+            if c is not stem:
+                known[c] = known[stem] + self.stops[c[-1]] if c[-1] in ",." else known[stem]
         long: dict[str, bytes] = {}
         for k in range(0, len(rest), 4096):
             for c, x in zip(rest[k : k + 4096], self.each(rest[k : k + 4096])):
