@@ -115,18 +115,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     return train(y[:, 0] if len(y) else np.zeros(0), stats, cut, bucket, times)
 
 
-def scored(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with all its columns and ``out``, the model's score of the whole text; the text alone decides it."""
+def scored(docs: DataFrame, model: Machine, text_col: str = "text", out: str = "score") -> DataFrame:
+    """``docs`` with all its columns and ``out``, the model's score of the whole text; the text alone decides it.
+
+    Only the text goes to Python and only the score comes back.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index(text_col)
 
-    def run(batches):
-        for b in batches:
-            for at, end, stats, doc, bucket, times in extracted(b.column(place), BITS):
-                s = score(sent.value, stats, doc, bucket, times)
-                yield pa.RecordBatch.from_arrays([*b.slice(at, end - at).columns, pa.array(s.astype(np.float64))], [*b.schema.names, out])
+    @F.arrow_udf(T.DoubleType())
+    def of(texts: pa.Array) -> pa.Array:
+        parts = [score(sent.value, stats, doc, bucket, times) for _, _, stats, doc, bucket, times in extracted(texts, BITS)]
+        return pa.array(np.concatenate(parts).astype(np.float64) if parts else np.zeros(0))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return docs.withColumn(out, of(F.col(text_col)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
@@ -136,5 +137,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     without a usable label every score is 0.5. Columns other than id and text are not read.
     """
     model = fit(docs, labels)
-    out = scored(docs.select(id_col, text_col), model, id_col, text_col)
+    out = scored(docs.select(id_col, text_col), model, text_col)
     return out.select(id_col, (fold(id_col) == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
