@@ -1,0 +1 @@
+"""Recorded datasets as DataFrames: metadata, stream catalogue, readings, frames."""
