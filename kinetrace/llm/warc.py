@@ -80,8 +80,8 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
     head = {}
     for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
-        if not colon:
-            raise Bad("header line without colon")
+        if not colon or "\r" in line or "WARC/" in name:
+            raise Bad("header line cut off or without colon")
         head[name.strip().lower()] = value.strip()
     try:
         length = int(head["content-length"])
