@@ -1,0 +1 @@
+"""Live variants on Structured Streaming."""
