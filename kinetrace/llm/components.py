@@ -44,7 +44,7 @@ def components(links: DataFrame) -> DataFrame:
     labels = None
     while edges.take(1):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = stored(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p")), "hooks")
+        hook = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p"))
         up = hook.select(F.col("v").alias("p"), F.col("p").alias("pp"))
         hook = stored(hook.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p")), "hooks")
         if labels is None:

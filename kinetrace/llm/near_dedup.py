@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import join_groups, stored, text_of
+from .common import bounded_batches, join_groups, stored, text_of
 from .components import components
 
 SHINGLE = 5
@@ -38,14 +38,18 @@ TREES = 10
 BRANCH = 2
 DEPTH = 4
 LEAF = 64
-BLOCK = 1024
+BLOCK = 256
+#: Ids broadcast to the scan of the texts, at most (some 40 bytes each); more meet them in a shuffle.
+MAX_SENT = 500_000
 #: Shares of agreeing coordinates: below LOWEST a pair of similarity 0.75 falls once in a million times.
 LOWEST, SURE = 0.5, 0.86
+#: The same for the longer signatures of what is compared after the first tree.
+FINE, FINE_LOWEST, FINE_SURE = 256, 0.64, 0.83
 
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
-_MULTIPLY = _rng.integers(1 << 62, 1 << 63, COORDINATES, np.uint64) * _U(2) + _U(1)
-_ADD = _rng.integers(0, 1 << 63, COORDINATES, np.uint64)
+_MULTIPLY = _rng.integers(1 << 62, 1 << 63, COORDINATES + FINE, np.uint64) * _U(2) + _U(1)
+_ADD = _rng.integers(0, 1 << 63, COORDINATES + FINE, np.uint64)
 
 
 def _shingled(column: pa.Array, size: int):
@@ -71,15 +75,27 @@ def _set_keys(n: np.ndarray, value: np.ndarray) -> np.ndarray:
     return key
 
 
-def _signatures(n: np.ndarray, value: np.ndarray) -> np.ndarray:
-    sig = np.zeros((len(n), COORDINATES), np.uint32)
+def _signatures(n: np.ndarray, value: np.ndarray, first_k: int, count: int) -> np.ndarray:
+    sig = np.zeros((len(n), count), np.uint32)
     has, first = _starts(n)
     if len(has):
-        for k in range(COORDINATES):
-            sig[has, k] = np.minimum.reduceat((value * _MULTIPLY[k] + _ADD[k]) >> _U(32), first)
+        for k in range(count):
+            sig[has, k] = np.minimum.reduceat((value * _MULTIPLY[first_k + k] + _ADD[first_k + k]) >> _U(32), first)
     return sig
 
 
+def _finer(size: int):
+    """(v, c, sig) of rows (v, c, text): more minwise tokens, 16 bits of each."""
+
+    def run(batches):
+        for b in batches:
+            for at, end, n, value in _shingled(b.column(2), size):
+                sig = words.mix(_signatures(n, value, COORDINATES, FINE).astype(_U)).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), b.column(1).slice(at, end - at), _binary(sig)], ["v", "c", "sig"])
+
+    return run
+
+
 def _binary(rows: np.ndarray) -> pa.Array:
     rows = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1)
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1]), len(rows), [None, pa.py_buffer(rows)]).cast(pa.binary())
@@ -93,7 +109,7 @@ def _sign(size: int):
     def run(batches):
         for b in batches:
             for at, end, n, value in _shingled(b.column(1), size):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), pa.array(n, pa.int64()), _binary(_set_keys(n, value)), _binary(_signatures(n, value))], ["id", "n", "c", "sig"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), pa.array(n, pa.int64()), _binary(_set_keys(n, value)), _binary(_signatures(n, value, 0, COORDINATES))], ["id", "n", "c", "sig"])
 
     return run
 
@@ -108,13 +124,14 @@ def _roots(batches):
         n = len(sig)
         node = np.concatenate([_node(np.zeros(n, _U), np.full(n, t), sig[:, t]) for t in range(TREES)]) if n else np.zeros(0, np.int64)
         at = pa.array(np.tile(np.arange(n), TREES))
-        yield pa.RecordBatch.from_arrays([pa.array(node), b.column(0).take(at), b.column(1).take(at)], ["node", "v", "c"])
+        tree = pa.array(np.repeat(np.arange(TREES), n), pa.int32())
+        yield pa.RecordBatch.from_arrays([tree, pa.array(node), b.column(0).take(at), b.column(1).take(at)], ["tree", "node", "v", "c"])
 
 
 def _branch(batches):
-    """(child, v, c, label) of rows (node, v, c, label, sig)."""
+    """(child, v, c, label, shared, parent) of rows (node, v, c, label, shared, size, sig): size becomes parent."""
     for b in batches:
-        sig = _rows(b.column(4), np.uint32, COORDINATES)
+        sig = _rows(b.column(6), np.uint32, COORDINATES)
         parent = b.column(0).to_numpy().view(_U)
         out, at = [], np.arange(len(sig))
         for k in range(BRANCH):
@@ -123,7 +140,7 @@ def _branch(batches):
             coordinate = ((first + _U(k) * (step | _U(1))) % _U(COORDINATES)).astype(np.int64)
             out.append(_node(parent, coordinate, sig[at, coordinate]))
         node, at = np.concatenate(out), pa.array(np.tile(at, BRANCH))
-        yield pa.RecordBatch.from_arrays([pa.array(node), *(b.column(k).take(at) for k in (1, 2, 3))], ["node", "v", "c", "label"])
+        yield pa.RecordBatch.from_arrays([pa.array(node), *(b.column(k).take(at) for k in (1, 2, 3, 4, 5))], ["node", "v", "c", "label", "shared", "parent"])
 
 
 def _groups(batches, keys: int):
@@ -154,8 +171,18 @@ def _agree(sig: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def _spare(i: list[int], j: list[int], share: list[float]) -> list[int]:
-    """Of one node's pairs the places to confirm: a forest of the sure ones, and others between its trees."""
+def _possible(table: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sets can be similar enough, having ``n`` shingles of which others have ``shared``: an exact bound."""
+    n, shared = (table.column(c).to_numpy() for c in ("n", "shared"))
+    most = np.minimum(shared[i], shared[j])
+    return 100 * most >= THRESHOLD * (n[i] + n[j] - most)
+
+
+def _spare(i: list[int], j: list[int], share: list[float], label: list[int], sure: float) -> list[int]:
+    """Of one node's pairs the places to confirm: a forest of the sure ones, and others between its trees.
+
+    ``label`` has the component of each row; rows of one are in one tree from the start.
+    """
     above: dict[int, int] = {}
 
     def root(x):
@@ -163,59 +190,67 @@ def _spare(i: list[int], j: list[int], share: list[float]) -> list[int]:
             above[x] = x = above[above[x]]
         return x
 
-    keep = []
+    keep, n = [], 0
     order = sorted(range(len(i)), key=lambda k: -share[k])
     for n, k in enumerate(order):
-        if share[k] < SURE:
+        if share[k] < sure:
             break
-        a, b = root(i[k]), root(j[k])
+        a, b = root(label[i[k]]), root(label[j[k]])
         if a != b:
             above[a] = b
             keep.append(k)
     else:
         return keep
-    return keep + [k for k in order[n:] if root(i[k]) != root(j[k])]
+    return keep + [k for k in order[n:] if root(label[i[k]]) != root(label[j[k]])]
 
 
-_PAIRS = "a bigint, ca binary, b bigint, cb binary"
+_PAIRS = "node bigint, block bigint, part bigint, a bigint, ca binary, b bigint, cb binary"
+_PLACE = ["node", "block", "part"]
 
 
 def _pairs(table: pa.Table, v: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """Rows i and j as pairs, the smaller id first, with the place where they were found."""
+    place = [table.column(c).combine_chunks().take(pa.array(i)) for c in _PLACE]
     low = v[i] <= v[j]
     i, j = np.where(low, i, j), np.where(low, j, i)
     c = table.column("c").combine_chunks()
-    return pa.RecordBatch.from_arrays([pa.array(v[i]), c.take(pa.array(i)), pa.array(v[j]), c.take(pa.array(j))], ["a", "ca", "b", "cb"])
+    return pa.RecordBatch.from_arrays([*place, pa.array(v[i]), c.take(pa.array(i)), pa.array(v[j]), c.take(pa.array(j))], [*_PLACE, "a", "ca", "b", "cb"])
+
+
+def _tokens(table: pa.Table) -> tuple[np.ndarray, float, float]:
+    """(signatures, lowest, sure) of a table, whichever its signatures are."""
+    column = table.column("sig").combine_chunks()
+    if len(column) and len(column[0].as_py()) == 2 * FINE:
+        return _rows(column, np.uint16, FINE), FINE_LOWEST, FINE_SURE
+    return _rows(column, np.uint32, COORDINATES), LOWEST, SURE
 
 
-def _compare(across: bool):
-    """Pairs to confirm of rows (node, block, v, c, label, sig) that come node by node and block by block."""
+def _compare(spare: bool):
+    """Pairs to confirm, with different labels, of rows (node, block, part, v, c, label, sig) in the order of their nodes."""
 
     def run(batches):
         for table in _groups(batches, 2):
             node, block, v, label = (table.column(c).to_numpy() for c in ("node", "block", "v", "label"))
-            sig = _rows(table.column("sig").combine_chunks(), np.uint32, COORDINATES)
-            new = np.concatenate(([True], (node[1:] != node[:-1]) | (block[1:] != block[:-1])))
-            group = np.cumsum(new) - 1
-            most = int(np.bincount(group).max())
+            sig, lowest, sure = _tokens(table)
+            group = np.cumsum(np.concatenate(([True], (node[1:] != node[:-1]) | (block[1:] != block[:-1])))) - 1
             found = []
-            for d in range(1, most):
-                i = np.flatnonzero(group[:-d] == group[d:])
-                if across:
-                    i = i[label[i] != label[i + d]]
+            for d in range(1, int(np.bincount(group).max())):
+                i = np.flatnonzero((group[:-d] == group[d:]) & (label[:-d] != label[d:]))
+                i = i[_possible(table, i, i + d)]
                 share = _agree(sig, i, i + d)
-                ok = share >= LOWEST
+                ok = share >= lowest
                 found.append((i[ok], i[ok] + d, share[ok]))
             if not found:
                 continue
             i, j, share = (np.concatenate(x) for x in zip(*found))
-            if not across and most > 2:
+            if spare and len(i):
                 order = np.argsort(group[i], kind="stable")
                 i, j, share = i[order], j[order], share[order]
                 g = group[i]
-                cuts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True]))) if len(g) else [0]
-                keep = []
+                cuts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
+                labels, keep = label.tolist(), []
                 for s, e in zip(cuts[:-1], cuts[1:]):
-                    keep += range(s, e) if e - s == 1 else [s + k for k in _spare(i[s:e].tolist(), j[s:e].tolist(), share[s:e].tolist())]
+                    keep += [s] if e - s == 1 else [s + k for k in _spare(i[s:e].tolist(), j[s:e].tolist(), share[s:e].tolist(), labels, sure)]
                 i, j = i[keep], j[keep]
             for k in range(0, len(i), 20_000):
                 yield _pairs(table, v, i[k : k + 20_000], j[k : k + 20_000])
@@ -224,34 +259,63 @@ def _compare(across: bool):
 
 
 def _against(batches):
-    """Pairs of rows (node, block, part, v, c, label, few, sig): those that are few against the block's others."""
+    """Pairs of rows (node, block, part, v, c, label, few, sig, nodes): those that are few against the block's others.
+
+    ``nodes`` lists all nodes that a row is compared in; a pair that is in several is left to the smallest.
+    """
     for table in _groups(batches, 3):
         cut = [table.column(k).to_numpy() for k in range(3)]
         starts = np.flatnonzero(np.concatenate(([True], np.any([x[1:] != x[:-1] for x in cut], 0), [True])))
         v, label, few = (table.column(c).to_numpy(zero_copy_only=False) for c in ("v", "label", "few"))
-        sig = _rows(table.column("sig").combine_chunks(), np.uint32, COORDINATES)
+        nodes = table.column("nodes").to_pylist()
+        sig, lowest, _ = _tokens(table)
         for s, e in zip(starts[:-1], starts[1:]):
             left, right = s + np.flatnonzero(few[s:e]), s + np.flatnonzero(~few[s:e])
+            own, elsewhere = cut[0][s], {}
+            for k, r in enumerate(right):
+                for n in nodes[r]:
+                    if n < own:
+                        elsewhere.setdefault(n, np.zeros(len(right), bool))[k] = True
             for x in left:
-                i = right[label[right] != label[x]]
-                i = i[_agree(sig, np.full(len(i), x), i) >= LOWEST]
+                ok = label[right] != label[x]
+                for n in nodes[x]:
+                    if n < own and n in elsewhere:
+                        ok &= ~elsewhere[n]
+                i = right[ok]
+                i = i[_possible(table, np.full(len(i), x), i)]
+                i = i[_agree(sig, np.full(len(i), x), i) >= lowest]
                 if len(i):
                     yield _pairs(table, v, np.full(len(i), x), i)
 
 
 def _confirm(threshold: int, size: int):
-    """``linked`` for rows (a, ca, b, cb, ta, tb), by the full sets of both texts."""
+    """``linked`` for the pairs among rows (node, block, part, a, ca, b, cb, text), by the full sets of a place's texts.
+
+    A row with a text gives the text of class ``ca``; the others are pairs.
+    """
 
     def run(batches):
-        for b in batches:
-            one, two = ([x for _, _, n, value in _shingled(b.column(k), size) for x in np.split(value, np.cumsum(n)[:-1])] for k in (4, 5))
+        for table in _groups(batches, 3):
+            cut = [table.column(k).to_numpy() for k in range(3)]
+            group = np.cumsum(np.concatenate(([True], np.any([x[1:] != x[:-1] for x in cut], 0)))).tolist()
+            ca, cb = table.column("ca").to_pylist(), table.column("cb").to_pylist()
+            text = table.column("text").combine_chunks()
+            with_text = np.flatnonzero(text.is_valid().to_numpy(zero_copy_only=False))
+            sets = [x for _, _, n, value in _shingled(text.take(pa.array(with_text)), size) for x in np.split(value, np.cumsum(n)[:-1])]
+            of = {(group[r], ca[r]): x for r, x in zip(with_text.tolist(), sets)}
+            pairs = np.flatnonzero(text.is_null().to_numpy(zero_copy_only=False))
             ok = []
-            for x, y in zip(one, two):
-                both = np.concatenate((x, y))
-                both.sort()
-                inner = int((both[1:] == both[:-1]).sum())
-                ok.append(inner > 0 and 100 * inner >= threshold * (len(both) - inner))
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(ok, pa.bool_())], ["a", "ca", "b", "cb", "linked"])
+            for r in pairs.tolist():
+                x, y = of[group[r], ca[r]], of[group[r], cb[r]]
+                if len(x) < len(y):
+                    x, y = y, x
+                if 100 * len(y) < threshold * len(x):
+                    ok.append(False)
+                    continue
+                inner = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                ok.append(100 * inner >= threshold * (len(x) + len(y) - inner))
+            rows = pa.array(pairs)
+            yield from table.select(["a", "ca", "b", "cb"]).take(rows).append_column("linked", pa.array(ok, pa.bool_())).to_batches()
 
     return run
 
@@ -267,6 +331,31 @@ def _keyed(size: int):
     return run
 
 
+def _partnered(batches):
+    """Rows (node, block, v, c, sig, ...) that agree enough with another of their block to be looked at again."""
+    for table in _groups(batches, 2):
+        node, block = (table.column(c).to_numpy() for c in ("node", "block"))
+        sig = _rows(table.column("sig").combine_chunks(), np.uint32, COORDINATES)
+        group = np.cumsum(np.concatenate(([True], (node[1:] != node[:-1]) | (block[1:] != block[:-1])))) - 1
+        keep = np.zeros(len(group), bool)
+        for d in range(1, int(np.bincount(group).max())):
+            i = np.flatnonzero((group[:-d] == group[d:]) & ~(keep[:-d] & keep[d:]))
+            i = i[_agree(sig, i, i + d) >= LOWEST]
+            keep[i] = keep[i + d] = True
+        yield from table.filter(pa.array(keep)).to_batches()
+
+
+def _spread(size: int):
+    """(h, v): the shingles of rows (v, c, text)."""
+
+    def run(batches):
+        for b in batches:
+            for at, end, n, value in _shingled(b.column(2), size):
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy()[at:end], n))], ["h", "v"])
+
+    return run
+
+
 class _Join:
     """One run of the join over the classes (v: smallest id, c: key, sig) of ``texts`` (id, text)."""
 
@@ -274,74 +363,130 @@ class _Join:
         self.texts, self.classes, self.threshold, self.size = texts, classes, threshold, size
         self.total = classes.count()
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """(a, ca, b, cb, linked) for distinct pairs: both full sets are made of the whole texts again."""
-        pairs = stored(pairs.dropDuplicates(["ca", "cb"]), "pairs")
-        ends = pairs.select(F.col("a").alias("v"), F.col("ca").alias("c")).unionByName(pairs.select(F.col("b").alias("v"), F.col("cb").alias("c"))).dropDuplicates(["c"])
-        found = self.texts.join(ends, self.texts["id"] == ends["v"]).select("v", "c", "text")
-        found = stored(found.mapInArrow(_keyed(self.size), "v bigint, c binary, text string").dropDuplicates(["c"]), "texts")
-        one, two = found.select(F.col("c").alias("ca"), F.col("text").alias("ta")), found.select(F.col("c").alias("cb"), F.col("text").alias("tb"))
-        both = pairs.join(one, "ca").join(two, "cb").select("a", "ca", "b", "cb", "ta", "tb")
-        return stored(both.mapInArrow(_confirm(self.threshold, self.size), _PAIRS + ", linked boolean"), "tested")
-
-    def sized(self, rows: DataFrame) -> DataFrame:
-        """Rows (node, v, c, label) of nodes with several labels, with the node's ``size``."""
-        groups = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-        groups = groups.where(F.col("l0") != F.col("l1")).select("node", "size")
-        return join_groups(rows, groups, ["node"], "size", self.total * TREES)
+    def whole_texts(self, wanted: DataFrame) -> DataFrame:
+        """A stored table (v, c, text) of the classes ``wanted`` (v, c)."""
+        wanted = stored(wanted.distinct(), "wanted")
+        sent = F.broadcast(wanted) if wanted.count() <= MAX_SENT else wanted
+        found = self.texts.join(sent, self.texts["id"] == wanted["v"]).select("v", "c", "text")
+        return stored(found.mapInArrow(_keyed(self.size), "v bigint, c binary, text string").dropDuplicates(["c"]), "texts")
+
+    def ends(self, pairs: DataFrame) -> DataFrame:
+        one, two = (pairs.select(*_PLACE, F.col(v).alias("v"), F.col(c).alias("c")) for v, c in (("a", "ca"), ("b", "cb")))
+        return one.unionByName(two)
+
+    def confirmed(self, pairs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+        """(a, ca, b, cb, linked) for distinct pairs: both full sets are made of the whole texts again.
+
+        A pair is confirmed at one of the places where it was found, so a text is sent once for all pairs of
+        its place and not for each.
+        """
+        one = pairs.groupBy("ca", "cb").agg(F.min(F.struct(*_PLACE, "a", "b")).alias("m")).select(*(F.col(f"m.{c}").alias(c) for c in (*_PLACE, "a", "b")), "ca", "cb")
+        one = stored(one, "pairs")
+        texts = self.whole_texts(self.ends(one).select("v", "c")) if texts is None else texts
+        ends = self.ends(one).distinct().join(texts.select("c", "text"), "c")
+        ends = ends.select(*_PLACE, F.col("v").alias("a"), F.col("c").alias("ca"), F.col("v").alias("b"), F.col("c").alias("cb"), "text")
+        both = ends.unionByName(one.select(*_PLACE, "a", "ca", "b", "cb", F.lit(None).cast("string").alias("text")))
+        both = both.repartition(*_PLACE).sortWithinPartitions(*_PLACE).mapInArrow(_confirm(self.threshold, self.size), "a bigint, ca binary, b bigint, cb binary, linked boolean")
+        return stored(both, "tested")
+
+    def sharing(self, texts: DataFrame) -> DataFrame:
+        """(v, shared): of each of ``texts`` the number of shingles that others have too.
+
+        With ``m`` the smaller number of two sets, their similarity is at most ``m / (n1 + n2 - m)``: sets with
+        edits of their own drop out against each other without a comparison.
+        """
+        found = texts.mapInArrow(_spread(self.size), "h bigint, v bigint")
+        own = found.groupBy("h").agg(F.count("*").alias("k"), F.min("v").alias("v")).where(F.col("k") == 1).groupBy("v").agg(F.count("*").alias("own"))
+        sizes = texts.select("v").join(self.classes.select("v", "n"), "v")
+        return stored(sizes.join(own, "v", "left").select("v", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")), "sharing")
+
+    def several(self, rows: DataFrame) -> DataFrame:
+        """Rows (node, block, label, ...) of blocks that hold several labels, with the block's ``size``."""
+        rows = stored(rows, "rows")  # read three times from here
+        groups = rows.groupBy("node", "block").agg(F.count("*").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+        groups = groups.where(F.col("l0") != F.col("l1")).select("node", "block", "size")
+        return join_groups(rows, groups, ["node", "block"], "size", self.total * TREES)
 
     def signed(self, rows: DataFrame) -> DataFrame:
-        return rows.join(self.classes.select("c", "sig"), "c")
+        return rows.join(self.classes.select("c", "sig", "n"), "c")
+
+    def finely_signed(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.fine, "c")
+
+    def in_blocks(self, rows: DataFrame) -> DataFrame:
+        rows = rows.select("node", "block", F.lit(0).cast("bigint").alias("part"), "v", "c", "label", "sig", "n", "shared")
+        return rows.repartition("node", "block").sortWithinPartitions("node", "block", "v")
 
-    def compared(self, rows: DataFrame, across: bool) -> DataFrame:
-        rows = rows.select("node", "block", "v", "c", "label", "sig")
-        return rows.repartition("node", "block").sortWithinPartitions("node", "block", "v").mapInArrow(_compare(across), _PAIRS)
+    def branched(self, rows: DataFrame) -> DataFrame:
+        """Children of nodes, rows (node, block, v, c, label, shared, parent, size), where they hold several labels."""
+        rows = self.signed(rows).select("node", "v", "c", "label", "shared", "size", "sig")
+        rows = rows.mapInArrow(_branch, "node bigint, v bigint, c binary, label bigint, shared bigint, parent bigint")
+        return stored(self.several(rows.withColumn("block", F.lit(0).cast("bigint"))), "branched")
 
     def links(self) -> DataFrame:
         """(a, b): links that give the components of all links."""
-        blocks = F.when(F.col("size") <= LEAF, F.lit(0).cast("bigint")).otherwise(F.pmod(F.xxhash64("c", "node"), F.ceil(F.col("size") / (LEAF * 3 // 4))))
-        roots = self.classes.select("v", "c", "sig").mapInArrow(_roots, "node bigint, v bigint, c binary").withColumn("label", F.col("v"))
-        roots = stored(self.sized(stored(roots, "roots")), "nodes")
-        leaves = stored(self.signed(roots.withColumn("block", blocks)).select("node", "block", "v", "c", "sig", "size"), "leaves")
-        tested = self.confirmed(self.compared(leaves.withColumn("label", F.col("v")), False))
+        zero = F.lit(0).cast("bigint")
+        blocks = F.when(F.col("size") <= LEAF, zero).otherwise(F.pmod(F.xxhash64("c", "node"), F.ceil(F.col("size") / (LEAF * 3 // 4))))
+        roots = self.classes.select("v", "c", "sig").mapInArrow(_roots, "tree int, node bigint, v bigint, c binary").withColumns({"label": F.col("v"), "block": zero})
+        roots = stored(self.several(roots), "nodes")
+        leaves = self.signed(roots.withColumn("block", blocks)).select("node", "block", "v", "c", "sig", "n", "tree", "size")
+        kinds = "node bigint, block bigint, v bigint, c binary, sig binary, n bigint, tree int, size bigint"
+        leaves = stored(leaves.repartition("node", "block").sortWithinPartitions("node", "block").mapInArrow(_partnered, kinds), "leaves")
+
+        def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+            return rows.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+
+        # one tree joins most of what is similar
+        tested = self.confirmed(self.in_blocks(leaves.where("tree = 0").withColumns({"label": F.col("v"), "shared": F.col("n")})).mapInArrow(_compare(True), _PAIRS))
         first = stored(components(tested.where("linked").select("a", "b")), "first")
-
-        def labelled(rows: DataFrame) -> DataFrame:
-            return rows.join(first, "v", "left").withColumn("label", F.coalesce("label", "v"))
-
-        pairs = self.compared(self.several(labelled(leaves.where(F.col("size") <= LEAF))), True)
-        big = stored(self.sized(labelled(roots.where(F.col("size") > LEAF).select("node", "v", "c"))), "big")
-        for _ in range(DEPTH - 1):
+        # the others and further levels look only at what is still apart, without the sets that have no partner at all
+        leaves = self.several(labelled(leaves.withColumn("whole", F.col("size") <= LEAF).drop("size", "sig", "n"), first))
+        leaves = stored(leaves, "leaves")
+        big = self.several(labelled(roots.where(F.col("size") > LEAF).select("node", "block", "v", "c").withColumn("shared", zero), first))
+        big = self.branched(big).drop("shared")
+        texts = self.whole_texts(leaves.select("v", "c").unionByName(big.select("v", "c")))
+        sharing = self.sharing(texts)
+        alive = sharing.join(self.classes.select("v", "n"), "v").where(100 * F.col("shared") >= self.threshold * F.col("n"))
+        alive = stored(alive, "alive")
+        few = alive.count() <= MAX_SENT
+        sent = F.broadcast(alive) if few else alive
+        fine = texts.join(sent.select("v"), "v").mapInArrow(_finer(self.size), "v bigint, c binary, sig binary")
+        self.fine = stored(fine.join(sent.select("v", "n"), "v").select("c", "sig", "n"), "fine")
+        sent = sent.select("v", "shared")
+        leaves, big = leaves.join(sent, "v"), big.join(sent, "v")
+        new = self.in_blocks(self.finely_signed(leaves)).mapInArrow(_compare(True), _PAIRS).join(tested.select("ca", "cb"), ["ca", "cb"], "left_anti")
+        tested = tested.unionByName(self.confirmed(new, texts))
+        second = stored(components(tested.where("linked").select("a", "b")), "second")
+        # all pairs that are left, wherever a node holds several components
+        small = self.several(labelled(leaves.where("whole").drop("label", "size"), second))
+        pairs = self.in_blocks(self.finely_signed(small)).mapInArrow(_compare(False), _PAIRS)
+        big = stored(self.several(labelled(big.drop("label", "size"), second)), "big")
+        for level in range(1, DEPTH):
             if not big.take(1):
                 break
-            rows = self.signed(big).select("node", "v", "c", "label", "sig").mapInArrow(_branch, "node bigint, v bigint, c binary, label bigint")
-            rows = stored(self.sized(stored(rows, "branched")), "branch")
-            small = self.signed(rows.where(F.col("size") <= LEAF)).withColumn("block", F.lit(0).cast("bigint"))
-            pairs = pairs.unionByName(self.compared(small, True))
-            big = rows.where(F.col("size") > LEAF)
-        if big.take(1):
-            pairs = pairs.unionByName(self.remaining(big))
-        pairs = pairs.join(tested.select("ca", "cb"), ["ca", "cb"], "left_anti")
-        more = self.confirmed(pairs.select("a", "ca", "b", "cb"))
+            pairs = pairs.unionByName(self.in_blocks(self.finely_signed(big.where(F.col("size") <= LEAF))).mapInArrow(_compare(False), _PAIRS))
+            # a child with most of its parent's sets is a dense group, which more levels would not take apart
+            dense = (F.col("size") > LEAF) & ((2 * F.col("size") > F.col("parent")) if level < DEPTH - 1 else F.lit(True))
+            pairs = pairs.unionByName(self.remaining(big.where(dense).drop("parent")))
+            if level < DEPTH - 1:
+                big = self.branched(big.where((F.col("size") > LEAF) & ~dense).drop("parent"))
+        pairs = pairs.dropDuplicates(["ca", "cb"])  # before the join: a pair may be in many nodes
+        more = self.confirmed(pairs.join(tested.select("ca", "cb"), ["ca", "cb"], "left_anti"), texts)
         return tested.where("linked").unionByName(more.where("linked")).select("a", "b")
 
-    def several(self, rows: DataFrame) -> DataFrame:
-        """Rows of small nodes that hold several labels."""
-        groups = rows.groupBy("node").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where(F.col("l0") != F.col("l1")).select("node")
-        return rows.join(groups, "node", "left_semi")
-
     def remaining(self, big: DataFrame) -> DataFrame:
         """Nodes that stay large: every set outside the largest component against all others, in blocks."""
         each = big.groupBy("node", "label").agg(F.count("*").alias("n"), F.first("size").alias("size"))
         main = each.groupBy("node").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.first("size").alias("size"))
-        rows = stored(self.signed(join_groups(big.drop("size"), main, ["node"], "size", self.total * TREES * BRANCH**DEPTH)), "remaining")
+        rows = stored(self.finely_signed(join_groups(big.drop("size", "block"), main, ["node"], "size", self.total * TREES * BRANCH**DEPTH)), "remaining")
+        rows = rows.join(rows.groupBy("v").agg(F.collect_set("node").alias("nodes")), "v")  # at most one a tree and branch
         blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("bigint")
         few = rows.where(F.col("label") != F.col("main"))
         few = few.withColumn("part", F.pmod(F.xxhash64("c"), blocks))  # the few are dealt into parts, each meets every block
         left = few.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))).withColumn("few", F.lit(True))
         parts = few.select("node", "part").distinct()
         right = rows.withColumn("block", F.pmod(F.xxhash64("c", F.lit(1)), blocks)).join(parts, "node").withColumn("few", F.lit(False))
-        both = left.select("node", "block", "part", "v", "c", "label", "few", "sig").unionByName(right.select("node", "block", "part", "v", "c", "label", "few", "sig"))
+        both = left.select("node", "block", "part", "v", "c", "label", "few", "sig", "n", "shared", "nodes").unionByName(right.select("node", "block", "part", "v", "c", "label", "few", "sig", "n", "shared", "nodes"))
         return both.repartition("node", "block", "part").sortWithinPartitions("node", "block", "part", "v").mapInArrow(_against, _PAIRS)
 
 
@@ -350,15 +495,18 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Words are runs without space or 0x09-0x0D, A-Z lowered; a document of fewer than ``size`` words is one
     shingle, one without words (or with a null text) is empty and linked with nothing. Documents link if
-    ``100 * intersection >= threshold * union``. A document with a null id takes no part: its component is null
+    ``100 * intersection >= threshold * union``, for a threshold of 75 or more. A document with a null id takes no part: its component is null
     and it is kept. Rows of one id are one document that has all their links. Other columns are not read; an
     empty table gives no rows.
     """
+    if threshold < THRESHOLD:
+        raise ValueError(f"the signatures' cuts are made for a similarity of {THRESHOLD} or more in a hundred")
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
+    bounded_batches(docs.sparkSession)
     signed = stored(texts.mapInArrow(_sign(size), "id bigint, n bigint, c binary, sig binary"), "signed")
     full = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
-    grouped = full.groupBy("c").agg(F.min(F.struct("id", "sig")).alias("m"), F.count("*").alias("size"))
-    classes = stored(grouped.select("c", F.col("m.id").alias("v"), F.col("m.sig").alias("sig"), "size"), "classes")
+    grouped = full.groupBy("c").agg(F.min(F.struct("id", "sig", "n")).alias("m"), F.count("*").alias("size"))
+    classes = stored(grouped.select("c", F.col("m.id").alias("v"), F.col("m.sig").alias("sig"), F.col("m.n").alias("n"), "size"), "classes")
     labels = components(_Join(texts, classes, threshold, size).links())
     named = classes.select("c", "v", "size").join(labels, "v", "left").select("c", F.coalesce("label", "v").alias("component_id"), "size")
     rows = join_groups(full.select("id", "n", "c"), named, ["c"], "size", signed.count()).select("id", "n", "component_id")

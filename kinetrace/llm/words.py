@@ -44,7 +44,7 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def slices(column: pa.Array, most: int = 1 << 21):
+def slices(column: pa.Array, most: int = 1 << 18):
     """Parts of a string column of at most ``most`` bytes, or of one row."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
