@@ -16,6 +16,8 @@ NULL_ID = 9223372036854775807
 #: At most this many groups are ever broadcast by ``join_groups``; a row of them has some 100 bytes.
 MAX_HEAVY = 4096
 
+BATCH_BYTES = 4 << 20
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -66,6 +68,31 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches end at ``BATCH_BYTES``: by default they hold up to 64 MB of text, several times a task.
+
+    It is a setting of the session and only lowers what is there.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key, str(64 << 20))).rstrip("b")) not in range(1, BATCH_BYTES + 1):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def trim() -> None:
+    """Give memory that Arrow and the C library hold for later back to the system; a driver lives long."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .common import bounded_batches
 from .mixing import fixed_hash
 
 STATISTICS = ("bytes", "words", "word length", "distinct", "top word", "doubled", "upper", "digits", "marks", "odd marks", "lines")
@@ -65,6 +66,7 @@ def sample(docs: DataFrame, labels: DataFrame, columns: list[str], most: int, bi
     chosen = chosen.where(fold(id_col) != 0).withColumn("h", fixed_hash(id_col)).orderBy("h", id_col).limit(most).dropDuplicates([id_col])
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).dropDuplicates([id_col])
     n = len(columns)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:

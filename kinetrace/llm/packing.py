@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, stored
+from .common import P, bounded_batches, stored
 
 CAPACITY = 4096
 #: Pieces packed together at level one, at most: bounds a task's memory.
@@ -273,6 +273,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     names = [id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     kind = dict(docs.dtypes)[id_col]
+    bounded_batches(docs.sparkSession)
     schema = f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded_batches, trim
 from .features import STATISTICS, extracted, fold, sample
 
 BITS = 16
@@ -112,7 +113,10 @@ def train(y: np.ndarray, stats: np.ndarray, cut: np.ndarray, bucket: np.ndarray,
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> Machine:
     """Train on at most ``most`` labelled documents whose fold is not 0."""
     y, stats, cut, bucket, times = sample(docs, labels, [label], most, BITS, ())
-    return train(y[:, 0] if len(y) else np.zeros(0), stats, cut, bucket, times)
+    model = train(y[:, 0] if len(y) else np.zeros(0), stats, cut, bucket, times)
+    del y, stats, cut, bucket, times
+    trim()
+    return model
 
 
 def scored(docs: DataFrame, model: Machine, text_col: str = "text", out: str = "score") -> DataFrame:
@@ -121,6 +125,7 @@ def scored(docs: DataFrame, model: Machine, text_col: str = "text", out: str = "
     Only the text goes to Python and only the score comes back.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(docs.sparkSession)
 
     @F.arrow_udf(T.DoubleType())
     def of(texts: pa.Array) -> pa.Array:

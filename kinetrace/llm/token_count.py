@@ -16,6 +16,8 @@ from itertools import repeat
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bounded_batches
+
 #: Pieces remembered by one worker; longer ones than REMEMBER characters never are.
 CACHE = 400_000
 REMEMBER = 48
@@ -127,5 +129,6 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             n = [count(t) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
+    bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")

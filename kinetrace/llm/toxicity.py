@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, trim
 from .features import extracted, fold, sample
 
 BITS = 18
@@ -127,7 +128,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Chain:
     """The chain low_quality, toxic, severe on at most ``most`` labelled documents whose fold is not 0."""
     y, stats, cut, bucket, _ = sample(docs, labels, ["quality", "toxic"], most, BITS, PREFIXES)
     y = np.column_stack((1 - y[:, 0], y[:, 1], severity(y[:, 1], cut, bucket) if len(y) else y[:, 1]))
-    return train_chain(CATEGORIES, y, stats, cut, bucket)
+    chain = train_chain(CATEGORIES, y, stats, cut, bucket)
+    del y, stats, cut, bucket
+    trim()
+    return chain
 
 
 def chained(chain: Chain, stats: np.ndarray, doc: np.ndarray, bucket: np.ndarray) -> np.ndarray:
@@ -149,6 +153,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     chain = chain or fit(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast(chain)
+    bounded_batches(docs.sparkSession)
     names = [f"p_{c}" for c in chain.names]
 
     def run(batches):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_or_last, join_groups, new_path, stored, text_of
+from .common import NULL_ID, bounded_batches, id_or_last, join_groups, new_path, stored, text_of
 
 #: A file ends after the record with which it has this many bytes.
 FILE_BYTES = 32 << 20
@@ -239,6 +239,7 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     """
     p = pages.select(id_or_last(id_col).alias("id"), F.col(url_col).alias("url"), text_of(payload_col).alias("payload"))
     p = p.withColumn("sha", F.unhex(F.sha1("payload")))
+    bounded_batches(pages.sparkSession)
     narrow = stored(p.select("id", "sha"), "payloads")
     groups = narrow.groupBy("sha").agg(F.min("id").alias("owner"), F.count("*").alias("size")).where(F.col("size") > 1)
     again = join_groups(narrow, stored(groups, "payload-groups"), ["sha"], "size", narrow.count())
