@@ -44,7 +44,7 @@ MAX_SENT = 500_000
 #: Shares of agreeing coordinates: below LOWEST a pair of similarity 0.75 falls once in a million times.
 LOWEST, SURE = 0.5, 0.86
 #: The same for the longer signatures of what is compared after the first tree.
-FINE, FINE_LOWEST, FINE_SURE = 256, 0.64, 0.83
+FINE, FINE_LOWEST, FINE_SURE = 512, 0.675, 0.81
 
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
