@@ -71,6 +71,26 @@ class Camera:
     def read_bytes(self) -> DataFrame:
         return streams.with_bytes(self.rows.sparkSession, self.rows)
 
+    def load(self, i: int):
+        """The i-th frame as height x width x 3 in red, green, blue."""
+        import tempfile
+
+        from .functions.images import decoded, pixels
+
+        row = self.get_frame(i)
+        with tempfile.TemporaryDirectory() as folder:
+            r = decoded(self.rows.sparkSession, self.materialize(folder, row)).first()
+        return pixels(bytes(r.data), r.height, r.width, r.channels)
+
+    def materialize(self, folder: str | os.PathLike, frame) -> str:
+        """A file that holds the frame: its own where it has one, else an extracted copy in ``folder``."""
+        if frame.container is None:
+            return frame.path
+        row = streams.with_bytes(self.rows.sparkSession, self.rows.where(F.col("path") == frame.path)).first()
+        path = Path(folder, frame.name)
+        path.write_bytes(bytes(row.bytes))
+        return str(path)
+
 
 class Dataset:
     """A recorded dataset of any layout version; nothing is read but metadata until a DataFrame is asked for.

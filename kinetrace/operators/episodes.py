@@ -66,12 +66,12 @@ def merged_tasks(tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = tasks.groupBy("prompt").agg(F.min(F.struct("dataset_pos", "task_index", "description")).alias("f"))
     order = W.orderBy("f.dataset_pos", "f.task_index")
     merged = first.select((F.row_number().over(order) - 1).cast("bigint").alias("new_task_index"), "prompt", F.col("f.description").alias("description"))
-    mapping = tasks.join(F.broadcast(merged.select("prompt", "new_task_index")), "prompt").select("dataset_pos", "task_index", "new_task_index")
+    mapping = tasks.join(merged.select("prompt", "new_task_index"), "prompt").select("dataset_pos", "task_index", "new_task_index")
     return merged, mapping
 
 
 def merged_episodes(episodes: DataFrame, mapping: DataFrame) -> DataFrame:
     """Episodes (dataset_pos, episode_pos, success, task_index) of all datasets, numbered anew, tasks remapped."""
-    e = episodes.join(F.broadcast(mapping), ["dataset_pos", "task_index"])
+    e = episodes.join(mapping, ["dataset_pos", "task_index"])
     new = (F.row_number().over(W.orderBy("dataset_pos", "episode_pos")) - 1).cast("string")
     return e.select("dataset_pos", "episode_pos", new.alias("id"), "success", F.col("new_task_index").alias("task_index"))

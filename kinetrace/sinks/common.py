@@ -121,23 +121,47 @@ class Export:
             "chunks_size": CHUNK, "fps": self.fps, "splits": {"train": f"0:{end}"} | ({"val": f"{end}:{n}"} if end < n else {}), "features": self.feature_description(with_fps),
         }
 
-    def videos(self, output: Path, place: str) -> None:
-        """An MP4 for each camera and file; ``place`` formats chunk, file, key and episode. Without an encoder nothing
-        but ``meta/frames`` is written, the frames that the videos would show."""
+    def video_places(self, limit_mb: float, ratio: float = 0.1) -> dict[tuple[str, int], tuple[int, int, float, float]]:
+        """{(camera, episode): (chunk, file, from, to)}: a camera's episodes one after another in files of some size.
+
+        ``ratio`` is what a video needs of its frames' bytes. A row an episode and camera, so folded on the driver.
+        """
+        sizes = self.shown().groupBy("camera", "episode_index").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).orderBy("camera", "episode_index")
+        out, last = {}, None
+        for r in sizes.collect():
+            mb = r["bytes"] * ratio / 2**20
+            if r.camera != last:
+                last, seq, held, before = r.camera, 0, 0.0, 0
+            elif held + mb >= limit_mb:
+                seq, held, before = seq + 1, 0.0, 0
+            out[r.camera, r.episode_index] = (seq // CHUNK, seq % CHUNK, before / self.fps, (before + r.n) / self.fps)
+            held, before = held + mb, before + r.n
+        return out
+
+    def videos(self, output: Path, place: str, places: dict | None = None) -> None:
+        """An MP4 for each camera and episode, or for each camera and file of ``places``; ``place`` formats chunk, key and file.
+
+        Without an encoder nothing but ``meta/frames`` is written, the frames that the videos would show.
+        """
         shown = self.shown()
         if video.encoder() is None:
             shown.write.mode("overwrite").parquet(str(output / "meta" / "frames"))
             return
+        if places is None:
+            shown = shown.withColumns({"chunk": F.floor(F.col("episode_index") / CHUNK).cast("bigint"), "file": F.col("episode_index")})
+        else:
+            table = self.dataset.spark.createDataFrame([(c, e, v[0], v[1]) for (c, e), v in places.items()], "camera string, episode_index bigint, chunk bigint, file bigint")
+            shown = shown.join(table, ["camera", "episode_index"])
         fps, base = self.fps, str(output.resolve())
 
         def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-            e, camera = key[0].as_py(), key[1].as_py()
-            t = table.sort_by("k")
-            video.encode(t.column("bytes").to_pylist(), fps, Path(base, place.format(chunk=e // CHUNK, key=f"observation.images.{camera}", episode=e)))
+            camera, chunk, file = (k.as_py() for k in key)
+            t = table.sort_by([("episode_index", "ascending"), ("k", "ascending")])
+            video.encode(t.column("bytes").to_pylist(), fps, Path(base, place.format(chunk=chunk, key=f"observation.images.{camera}", file=file)))
             return pa.table({"n": pa.array([len(t)], pa.int64())})
 
-        cols = with_bytes(self.dataset.spark, shown).select("episode_index", "camera", "k", "bytes")
-        cols.groupBy("episode_index", "camera").applyInArrow(run, "n bigint").agg(F.sum("n")).collect()
+        cols = with_bytes(self.dataset.spark, shown).select("camera", "chunk", "file", "episode_index", "k", "bytes")
+        cols.groupBy("camera", "chunk", "file").applyInArrow(run, "n bigint").agg(F.sum("n")).collect()
 
 
 #: Grouped maps can't take a column name with a dot.

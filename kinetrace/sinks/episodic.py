@@ -21,7 +21,7 @@ def write(dataset, output: Path, **options) -> Export:
     x = Export(dataset, **options)
     write_data(x, output)
     if dataset.camera_names:
-        x.videos(output, "videos/chunk-{chunk:03d}/{key}/episode_{episode:06d}.mp4")
+        x.videos(output, "videos/chunk-{chunk:03d}/{key}/episode_{file:06d}.mp4")
     write_metadata(x, output)
     return x
 

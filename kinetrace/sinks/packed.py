@@ -20,14 +20,14 @@ VIDEO = "videos/{video_key}/chunk-{chunk_index:03d}/file-{file_index:03d}.mp4"
 DATA_MB, VIDEO_MB = 100, 200
 
 
-def write(dataset, output: Path, data_mb: float = DATA_MB, **options) -> Export:
+def write(dataset, output: Path, data_mb: float = DATA_MB, video_mb: float = VIDEO_MB, **options) -> Export:
     """Options: fps=30, train_split=0.8, smoothing_cutoff=1.0, success_only=False."""
     x = Export(dataset, **options)
     files = write_data(x, output, data_mb)
-    if dataset.camera_names:
-        # each video file holds one episode, so it starts at 0 and its frames are as evenly spaced as the data
-        x.videos(output, "videos/{key}/chunk-{chunk:03d}/file-{episode:03d}.mp4")
-    write_metadata(x, output, files)
+    places = x.video_places(video_mb) if dataset.camera_names else {}
+    if places:
+        x.videos(output, "videos/{key}/chunk-{chunk:03d}/file-{file:03d}.mp4", places)
+    write_metadata(x, output, files, places)
     return x
 
 
@@ -49,7 +49,7 @@ def write_data(x: Export, output: Path, data_mb: float) -> dict[int, tuple[int,
     return {r.episode_index: (r.chunk_index, r.file_index) for r in place.collect()}
 
 
-def write_metadata(x: Export, output: Path, files: dict[int, tuple[int, int]]) -> None:
+def write_metadata(x: Export, output: Path, files: dict[int, tuple[int, int]], places: dict) -> None:
     per = x.statistics("episode_index").where(F.col("feature").isin("action", "observation.state", *EPISODE_SCALARS)).persist()
     stats: dict[int, dict] = {}
     for r in per.collect():
@@ -64,8 +64,9 @@ def write_metadata(x: Export, output: Path, files: dict[int, tuple[int, int]]) -
         e = r["episode_index"]
         row = {"episode_index": e, "tasks": [r["prompt"]], "length": r["length"], "data/chunk_index": files[e][0], "data/file_index": files[e][1], "dataset_from_index": r["dataset_from_index"], "dataset_to_index": r["dataset_to_index"], "meta/episodes/chunk_index": 0, "meta/episodes/file_index": 0}
         for c in x.dataset.camera_names:
-            key = f"videos/observation.images.{c}"
-            row |= {f"{key}/chunk_index": e // 1000, f"{key}/file_index": e, f"{key}/from_timestamp": 0.0, f"{key}/to_timestamp": r["length"] / x.fps}
+            if (c, e) in places:
+                names = ("chunk_index", "file_index", "from_timestamp", "to_timestamp")
+                row |= {f"videos/observation.images.{c}/{n}": v for n, v in zip(names, places[c, e])}
         rows.append(row | stats.get(e, {}))
     path = output / "meta" / "episodes" / "chunk-000" / "file-000.parquet"
     path.parent.mkdir(parents=True, exist_ok=True)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import camera_name, file_name, frame_time_ns
+from ..functions.expressions import file_name, frame_time_ns
 from .metadata import Metadata
 
 STATE = ("qpos", "qvel", "qtorque")
@@ -169,7 +169,3 @@ def with_bytes(spark: SparkSession, frames_: DataFrame) -> DataFrame:
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames_.schema)
     return frames_.mapInArrow(read, f"{fields}, bytes binary")
-
-
-def present_camera(c: str):
-    return camera_name(c)

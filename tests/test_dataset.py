@@ -102,6 +102,8 @@ def test_cameras(roots, spark):
         assert c.get_frame(1).t_ns == rec.FRAMES["ceiling"][1]
         data = {bytes(r.bytes) for r in c.read_bytes().collect()}
         assert len(data) == 1 and next(iter(data))[:2] == b"\xff\xd8"
+        image = c.load(0)
+        assert image.shape == (60, 96, 3) and np.abs(image.astype(int) - [200, 50, 10]).max() <= 3
         with pytest.raises(KeyError):
             d.load_camera("none", 0)
     only = Dataset(roots["0.3.0"], spark, camera_names=["head"])
@@ -231,6 +233,14 @@ def test_packed_export(roots, spark, tmp_path):
     assert json.loads((tmp_path / "meta/info.json").read_text())["features"]["timestamp"]["fps"] == 30
 
 
+def test_packed_videos_follow_each_other(roots, spark, tmp_path):
+    Dataset(roots["0.3.0"], spark, ["head", "ceiling"]).write(tmp_path, format="lerobot_v3.0")
+    e = pd.read_parquet(tmp_path / "meta/episodes/chunk-000/file-000.parquet")
+    key = "videos/observation.images.head/"
+    assert e[key + "file_index"].tolist() == [0, 0] and e[key + "from_timestamp"].tolist() == [0, 2 / 30] and e[key + "to_timestamp"].tolist() == [2 / 30, 4 / 30]
+    assert e["dataset_from_index"].tolist() == [0, 2] and not [c for c in e if "wrist" in c]
+
+
 def test_long_series(roots, spark, tmp_path):
     d = Dataset(roots["0.3.0"], spark)
     d.write(tmp_path, format="rrd", fps=30)
