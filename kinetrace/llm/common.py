@@ -93,6 +93,22 @@ def trim() -> None:
         pass
 
 
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What a worker remembers from task to task for one operator; what it holds for others goes first.
+
+    Workers outlive tasks and serve all operators in turn, so one operator's memory is not to burden the next.
+    """
+    others = [k for k in _caches if k != owner]
+    if others:
+        for k in others:
+            _caches.pop(k).clear()
+        trim()
+    return _caches.setdefault(owner, {})
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

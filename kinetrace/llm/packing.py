@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, bounded_batches, stored
+from .common import P, bounded_batches, stored, worker_cache
 
 CAPACITY = 4096
 #: Pieces packed together at level one, at most: bounds a task's memory.
@@ -99,10 +99,15 @@ def pack(pieces: DataFrame, size_col: str = "length", capacity: int = CAPACITY)
     Every row is an item of its own, whatever repeats; ``size_col`` is a bigint from 1 to ``capacity``. All
     other columns pass through, so keep them narrow. An empty table stays empty.
     """
-    names = pieces.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    return _packed(pieces, lambda batches: batches, fields, pieces.columns, size_col, capacity)
+
+
+def _packed(rows: DataFrame, made, fields: str, names: list[str], size_col: str, capacity: int) -> DataFrame:
+    """``made`` turns batches of ``rows`` into pieces in the worker that then packs them."""
     schema = f"{fields}, sequence_id bigint, offset bigint, {P}open boolean"
-    first = stored(pieces.mapInArrow(_pack_windows(size_col, capacity, 0, names), schema), "packed")
+    level_one = _pack_windows(size_col, capacity, 0, names)
+    first = stored(rows.mapInArrow(lambda batches: level_one(made(batches)), schema), "packed")
     final = first.where(~F.col(P + "open")).drop(P + "open")
     rest = first.where(F.col(P + "open"))
     windows = max(1, -(-rest.count() // WINDOW))
@@ -240,24 +245,22 @@ def _portions(texts: list[str | None], most: int = 1 << 20):
         yield first, len(held), held
 
 
-_tokens: dict[str, _Tokens] = {}
-
+_PIECES = ["piece", "start", "length", "ids_crc32"]
 
-def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, with_ids: bool = False) -> DataFrame:
-    """Documents as token pieces: id, ``piece``, ``start``, ``length``, ``ids_crc32`` and, if asked for, ``ids``.
 
-    A document is the ids of its whole text, null counting as empty, and then ``end_id``; only one longer
-    than ``capacity`` is cut. Repeated rows and null ids give pieces like any other; other columns are not read.
-    """
+def _token_pieces(vocabulary: str, id_col: str, capacity: int, end_id: int, with_ids: bool):
+    names = [id_col, *_PIECES, *["ids"] * with_ids]
 
     def run(batches):
-        if vocabulary not in _tokens:
-            _tokens[vocabulary] = _Tokens(vocabulary)
+        known = worker_cache("packing")
+        if vocabulary not in known:
+            known[vocabulary] = _Tokens(vocabulary)
+        ids_of = known[vocabulary].ids
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:
             ids = b.column(0)
             for first, count, parts in _portions(b.column(1).to_pylist()):
-                tokens = _tokens[vocabulary].ids(parts) if len(parts) == count else [b"".join(x for p in parts for x in _tokens[vocabulary].ids([p]))]
+                tokens = ids_of(parts) if len(parts) == count else [b"".join(x for p in parts for x in ids_of([p]))]
                 rows, at = [], []
                 for i, x in enumerate(tokens, first):
                     x += end
@@ -271,11 +274,22 @@ def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                     columns.append(pa.array([np.frombuffer(p, "<u4").astype("i4") for p in part], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = [id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-    kind = dict(docs.dtypes)[id_col]
+    return run
+
+
+def _piece_schema(docs: DataFrame, id_col: str, with_ids: bool) -> str:
+    return f"`{id_col}` {dict(docs.dtypes)[id_col]}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
+
+
+def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+    """Documents as token pieces: id, ``piece``, ``start``, ``length``, ``ids_crc32`` and, if asked for, ``ids``.
+
+    A document is the ids of its whole text, null counting as empty, and then ``end_id``; only one longer
+    than ``capacity`` is cut. Repeated rows and null ids give pieces like any other; other columns are not read.
+    """
     bounded_batches(docs.sparkSession)
-    schema = f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    run = _token_pieces(vocabulary, id_col, capacity, end_id, with_ids)
+    return docs.select(id_col, text_col).mapInArrow(run, _piece_schema(docs, id_col, with_ids))
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -286,4 +300,6 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Tokenise and pack: a row a piece with id, piece, start, length, ids_crc32, sequence_id and offset."""
-    return pack(token_pieces(docs, vocabulary, id_col, text_col, capacity), "length", capacity)
+    bounded_batches(docs.sparkSession)
+    made = _token_pieces(vocabulary, id_col, capacity, 1, False)
+    return _packed(docs.select(id_col, text_col), made, _piece_schema(docs, id_col, False), [id_col, *_PIECES], "length", capacity)

@@ -16,7 +16,7 @@ from itertools import repeat
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches
+from .common import bounded_batches, worker_cache
 
 #: Pieces remembered by one worker; longer ones than REMEMBER characters never are.
 CACHE = 400_000
@@ -109,9 +109,6 @@ class Counter:
         return len(parts) - 1 + sum(map(self._plain, filter(None, parts)))
 
 
-_counters: dict[str, Counter] = {}
-
-
 def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """One row a document: its id, ``n_bytes``, ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens).
 
@@ -121,9 +118,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     """
 
     def run(batches):
-        if vocabulary not in _counters:
-            _counters[vocabulary] = Counter(vocabulary)
-        count = _counters[vocabulary].count
+        counters = worker_cache("token counts")
+        if vocabulary not in counters:
+            counters[vocabulary] = Counter(vocabulary)
+        count = counters[vocabulary].count
         for b in batches:
             texts = b.column(1).to_pylist()
             n = [count(t) for t in texts]

@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from .common import worker_cache
+
 _U = np.uint64
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
@@ -46,6 +48,7 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(column: pa.Array, most: int = 1 << 18):
     """Parts of a string column of at most ``most`` bytes, or of one row."""
+    worker_cache("words")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not pa.types.is_large_string(column.type):
