@@ -477,12 +477,13 @@ class _Join:
     def remaining(self, big: DataFrame) -> DataFrame:
         """Nodes that stay large: every set outside the largest component against all others, in blocks."""
         each = big.groupBy("node", "label").agg(F.count("*").alias("n"), F.first("size").alias("size"))
-        main = each.groupBy("node").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.first("size").alias("size"))
+        main = each.groupBy("node").agg(F.max(F.struct("n", "label")).alias("m"), F.first("size").alias("size"))
+        main = main.select("node", "size", F.col("m.label").alias("main"), F.greatest(F.lit(1), F.ceil((F.col("size") - F.col("m.n")) / BLOCK)).cast("bigint").alias("parts"))
         rows = stored(self.finely_signed(join_groups(big.drop("size", "block"), main, ["node"], "size", self.total * TREES * BRANCH**DEPTH)), "remaining")
         rows = rows.join(rows.groupBy("v").agg(F.collect_set("node").alias("nodes")), "v")  # at most one a tree and branch
         blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("bigint")
         few = rows.where(F.col("label") != F.col("main"))
-        few = few.withColumn("part", F.pmod(F.xxhash64("c"), blocks))  # the few are dealt into parts, each meets every block
+        few = few.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")))  # the few are dealt into parts, each meets every block
         left = few.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))).withColumn("few", F.lit(True))
         parts = few.select("node", "part").distinct()
         right = rows.withColumn("block", F.pmod(F.xxhash64("c", F.lit(1)), blocks)).join(parts, "node").withColumn("few", F.lit(False))
