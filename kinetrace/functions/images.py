@@ -13,6 +13,7 @@ from .expressions import even_index, image_sample_size
 
 #: Images of at least LARGE pixels on the long side are thinned to about SMALL.
 LARGE, SMALL = 300, 150
+DECODED = "path string, height int, width int, channels int, data binary"
 
 
 def decoded(spark: SparkSession, paths: list[str] | str) -> DataFrame:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import shutil
+from contextlib import contextmanager
 from pathlib import Path
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import images
 from ..operators import episodes as E
 from ..operators import stats as S
-from ..sources.streams import with_bytes
+from ..sources.streams import as_files, with_bytes
 from . import video
 
 CHUNK = 1000
@@ -23,13 +26,13 @@ SCALARS = ("timestamp", "frame_index", "episode_index", "index", "task_index", "
 class Export:
     """The frames of the kept episodes, numbered anew."""
 
-    def __init__(self, dataset, fps: float = 30, train_split: float = 0.8, smoothing_cutoff: float | None = 1.0, success_only: bool = False):
+    def __init__(self, dataset, output: Path, fps: float = 30, train_split: float = 0.8, smoothing_cutoff: float | None = 1.0, success_only: bool = False):
         if not 0 <= train_split <= 1:
             raise ValueError("train_split must lie in 0..1")
         if fps <= 0:
             raise ValueError("fps must be positive")
         self.dataset = dataset.with_smoothing(smoothing_cutoff)
-        self.fps, self.train_split = fps, train_split
+        self.output, self.fps, self.train_split = output, fps, train_split
         chosen = self.dataset.chosen(success_only)
         if not chosen:
             raise ValueError("there are no episodes to write")
@@ -75,31 +78,41 @@ class Export:
             out = out.unionByName(p)
         return out
 
+    @contextmanager
+    def decoded(self, shown: DataFrame):
+        """``shown`` with height, width, channels and data; frames in tars are copied to the output meanwhile, as the JVM decodes files."""
+        folder = self.output.resolve() / f"frames-{uuid4().hex}"
+        try:
+            files = as_files(self.dataset.spark, shown, str(folder))
+            paths = [r.file for r in files.select("file").distinct().orderBy("file").collect()]
+            tail = lambda c: F.regexp_extract(c, r"/episodes/(.*)$", 1)
+            data = images.decoded(self.dataset.spark, paths) if paths else self.dataset.spark.createDataFrame([], images.DECODED)
+            yield files.withColumn("tail", tail(F.col("file"))).drop("path", "file").join(data.withColumn("tail", tail(F.col("path"))).drop("path"), "tail")
+        finally:
+            shutil.rmtree(folder, ignore_errors=True)
+
     def image_statistics(self) -> dict[tuple[int, str], dict]:
-        """{(episode, camera): statistics} of evenly spread frames kept as files; tars are not decoded."""
-        shown = images.chosen_frames(self.shown().where(F.col("container").isNull()), ["episode_index", "camera"], "k")
-        paths = sorted({r.path for r in shown.select("path").distinct().collect()}) if self.dataset.camera_names else []
-        if not paths:
+        """{(episode, camera): statistics} of evenly spread frames."""
+        if not self.dataset.camera_names:
             return {}
-        decoded = images.decoded(self.dataset.spark, paths)
-        tail = lambda c: F.regexp_extract(c, r"/episodes/(.*)$", 1)
-        both = shown.withColumn("tail", tail(F.col("path"))).drop("path").join(decoded.withColumn("tail", tail(F.col("path"))).drop("path"), "tail")
-        d = images.describe(both, ["episode_index", "camera"])
+        shown = images.chosen_frames(self.shown(), ["episode_index", "camera"], "k")
         frames = shown.groupBy("episode_index", "camera").agg(F.count("*").alias("frames"))
         out: dict = {}
-        for r in d.join(frames, ["episode_index", "camera"]).orderBy("channel").collect():
-            own = out.setdefault((r.episode_index, r.camera), {n: [] for n in ("min", "max", "mean", "std")} | {"count": [r.frames]})
-            for n in ("min", "max", "mean", "std"):
-                own[n].append([[r[n]]])
+        with self.decoded(shown) as both:
+            d = images.describe(both, ["episode_index", "camera"])
+            for r in d.join(frames, ["episode_index", "camera"]).orderBy("channel").collect():
+                own = out.setdefault((r.episode_index, r.camera), {n: [] for n in ("min", "max", "mean", "std")} | {"count": [r.frames]})
+                for n in ("min", "max", "mean", "std"):
+                    own[n].append([[r[n]]])
         return out
 
     def image_shapes(self) -> dict[str, tuple[int, int]]:
         """{camera: (height, width)} by the first frame of the first episode."""
-        first = self.shown().where((F.col("episode_index") == 0) & (F.col("k") == 0) & F.col("container").isNull()).collect()
-        if not first:
+        if not self.dataset.camera_names:
             return {}
-        sizes = {r.path.rsplit("/episodes/", 1)[-1]: (r.height, r.width) for r in images.decoded(self.dataset.spark, [r.path for r in first]).drop("data").collect()}
-        return {r.camera: sizes[r.path.rsplit("/episodes/", 1)[-1]] for r in first}
+        with self.decoded(self.shown().where((F.col("episode_index") == 0) & (F.col("k") == 0))) as first:
+            sizes = {r.camera: (r.height, r.width) for r in first.select("camera", "height", "width").collect()}
+        return {c: sizes[c] for c in self.dataset.camera_names if c in sizes}
 
     def feature_description(self, with_fps: bool) -> dict:
         extra = {"fps": self.fps} if with_fps else {}

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import os
 import tarfile
 from dataclasses import dataclass
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -169,3 +171,26 @@ def with_bytes(spark: SparkSession, frames_: DataFrame) -> DataFrame:
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames_.schema)
     return frames_.mapInArrow(read, f"{fields}, bytes binary")
+
+
+def as_files(spark: SparkSession, frames_: DataFrame, folder: str) -> DataFrame:
+    """``frames_`` with a ``file`` of each: its own, or a copy below ``folder`` of one kept in a tar.
+
+    ``folder`` is a path that every executor mounts. A copy appears by a rename once whole.
+    """
+
+    def write(batches):
+        for b in batches:
+            for file, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                os.makedirs(os.path.dirname(file), exist_ok=True)
+                temp = f"{file}.{uuid4().hex}.tmp"
+                with open(temp, "wb") as f:
+                    f.write(data)
+                os.replace(temp, file)
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)], pa.int64())], ["n"])
+
+    copy = F.concat(F.lit(f"{folder}/episodes/"), F.sha2("path", 256), F.lit(".jpeg"))
+    out = frames_.withColumn("file", F.when(F.col("container").isNull(), F.col("path")).otherwise(copy))
+    packed = out.where(F.col("container").isNotNull()).select("path", "container", "offset", "size", "file").dropDuplicates(["file"])
+    with_bytes(spark, packed).select("file", "bytes").mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+    return out

@@ -241,6 +241,24 @@ def test_packed_videos_follow_each_other(roots, spark, tmp_path):
     assert e["dataset_from_index"].tolist() == [0, 2] and not [c for c in e if "wrist" in c]
 
 
+@pytest.mark.parametrize("format", ["lerobot_v2.1", "gr00t", "lerobot_v3.0"])
+def test_exports_of_tars_describe_images_like_those_of_folders(roots, spark, tmp_path, format):
+    for v in ("0.3.0", "tar"):
+        Dataset(roots[v], spark).write(tmp_path / v, format=format)
+    one, two = tmp_path / "0.3.0" / "meta", tmp_path / "tar" / "meta"
+    assert sorted(p.name for p in one.parent.iterdir()) == sorted(p.name for p in two.parent.iterdir())
+    info = json.loads((two / "info.json").read_text())
+    assert {f"observation.images.{c}" for c in rec.FRAMES} <= set(info["features"]) and info == json.loads((one / "info.json").read_text())
+    names = ["stats.json"] if format == "lerobot_v3.0" else ["stats.json", "episodes_stats.jsonl"]
+    for name in names:
+        assert (one / name).read_text() == (two / name).read_text()
+    if format == "lerobot_v3.0":
+        a, b = (pd.read_parquet(m / "episodes/chunk-000/file-000.parquet") for m in (one, two))
+        assert "stats/observation.images.head/mean" in b and list(a) == list(b) and repr(a.values.tolist()) == repr(b.values.tolist())
+    else:
+        assert all("observation.images.head" in json.loads(x)["stats"] for x in (two / "episodes_stats.jsonl").read_text().splitlines())
+
+
 def test_long_series(roots, spark, tmp_path):
     d = Dataset(roots["0.3.0"], spark)
     d.write(tmp_path, format="rrd", fps=30)
