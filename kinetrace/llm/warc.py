@@ -74,15 +74,18 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
     """(header, block, end) of the record at ``at``."""
     if data[at : at + 7] not in (b"WARC/1.", b"WARC/0."):
         raise Bad("no version line")
-    end = data.find(b"\r\n\r\n", at, at + (1 << 20))
-    if end < 0:
-        raise Bad("header without end")
-    head = {}
-    for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+    head, end = {}, data.find(b"\r\n", at)
+    while end >= 0 and data[end : end + 4] != b"\r\n\r\n":  # a header may be of any length; the first bad line ends the search
+        start, end = end + 2, data.find(b"\r\n", end + 2)
+        if end < 0:
+            break
+        line = data[start:end].decode("utf-8", "replace")
         name, colon, value = line.partition(":")
         if not colon or "\r" in line or "WARC/" in name:
             raise Bad("header line cut off or without colon")
         head[name.strip().lower()] = value.strip()
+    if end < 0:
+        raise Bad("header without end")
     try:
         length = int(head["content-length"])
     except (KeyError, ValueError):
@@ -219,7 +222,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                         named = head.get("warc-payload-digest", "")[5:].upper() or None
                         size, sum_ = (number(head, "x-payload-length"), named) if payload is None else (len(payload), digest(payload))
                         rows.append((file, at, length, "record", None, head.get("warc-type"), head.get("warc-record-id"), head.get("warc-target-uri"), number(head, "x-page-id"), number(head, "x-refers-to-page-id"), size, sum_, payload if with_payload else None))
-                    held += len(payload or b"") * with_payload
+                    held += len(payload or b"") * with_payload + len((head or {}).get("warc-target-uri", ""))
                     if len(rows) >= 2000 or held >= 16 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
                         rows, held = [], 0
@@ -250,7 +253,7 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Archive ``pages`` in the shared folder and read the archives back: a row a page."""
+    """Archive ``pages`` in the shared folder and read the archives back: a row a page. A gap in them is an error."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     archive(pages, path)
@@ -260,4 +263,5 @@ def round_trip(pages: DataFrame) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         back = spark.createDataFrame([], _SCHEMA)
-    return back.where(F.col("status") == "record").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    gap = F.raise_error(F.concat(F.lit("gap in an archive just written: "), "file", F.lit(" at "), F.col("offset").cast("string"), F.lit(": "), "reason"))
+    return back.where(F.when(F.col("status") == "record", True).otherwise(gap.cast("boolean"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -56,6 +56,29 @@ def test_archives_hold_urls_and_payloads(spark):
     assert got == {k: (f"http://x/{k}", f"<b>{k}</b>".encode()) for k in range(50)}
 
 
+def test_round_trip_of_a_very_long_url(spark):
+    df = spark.createDataFrame([(1, "http://x/" + "é" * (1 << 20), "<p>a</p>"), (2, "u2", "<p>b</p>")], "page_id bigint, url string, html string")
+    assert sorted(r.page_id for r in warc.round_trip(df).collect()) == [1, 2]
+
+
+def test_round_trip_fails_by_a_gap(spark, monkeypatch):
+    monkeypatch.setattr(warc, "write_warc", _with_junk(warc.write_warc))
+    df = spark.createDataFrame([(1, "u1", "<p>a</p>")], "page_id bigint, url string, html string")
+    with pytest.raises(Exception, match="gap in an archive just written"):
+        warc.round_trip(df).collect()
+
+
+def _with_junk(write):
+    def run(records, path):
+        out = write(records, path)
+        for f in out.collect():
+            with open(f.file, "ab") as end:
+                end.write(b"junk")
+        return out
+
+    return run
+
+
 @pytest.mark.parametrize("packed", [True, False])
 def test_salvage_loses_only_what_is_damaged(packed):
     r = random.Random(8)
