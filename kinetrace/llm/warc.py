@@ -2,13 +2,15 @@
 
 The reader checks each member or record: it must decompress, have a version line, a header with a length, the
 closing blank lines and the digest it names. Where a check fails it searches on for the next gzip member or
-version line that passes, goes on from there, and logs the bytes between as a quarantined gap.
+version line that passes, goes on from there, and logs the bytes between as a quarantined gap. The same holds
+within a member of several records; of one that is cut off or broken, the content up to there counts.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -115,50 +117,107 @@ def _payload(head: dict, block: bytes) -> bytes | None:
     return data
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
+_VERSION = re.compile(rb"WARC/[01]\.")
+_START = re.compile(rb"\x1f\x8b\x08|WARC/[01]\.")
+
+
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """(bytes, end, reason): of a member that is cut off or broken the bytes up to there, and why it ends."""
     d, out, step = zlib.decompressobj(31), [], 1 << 16
     view, i = memoryview(data), at
     try:
         while not d.eof:
             if i >= len(data):
-                raise Bad("member cut off")
+                return b"".join(out), i, "member cut off"
             out.append(d.decompress(view[i : i + step]))
             i += step
     except zlib.error:
-        raise Bad("member does not decompress") from None
-    return b"".join(out), min(i, len(data)) - len(d.unused_data)
+        # the failing step gave nothing: its input once more, byte by byte
+        d = zlib.decompressobj(31)
+        out = [d.decompress(view[at:i])]
+        try:
+            while i < len(data):
+                out.append(d.decompress(view[i : i + 1]))
+                i += 1
+        except zlib.error:
+            pass
+        return b"".join(out), i, "member does not decompress"
+    return b"".join(out), min(i, len(data)) - len(d.unused_data), None
+
+
+def _inside(raw: bytes, broken: str | None) -> Iterator[tuple[dict | None, bytes | None, str | None]]:
+    """(header, payload, reason) of each record and gap of a member's bytes.
+
+    Where they do not decompress to the end, records without a block digest count as damaged, and the others
+    have the reason too, for nothing covers their headers; the last gap is then the member's end.
+    """
+    i, gap, why = 0, None, None
+    while i < len(raw):
+        try:
+            head, block, end = _parse(raw, i)
+            payload = _payload(head, block)
+            if broken == "member does not decompress" and not head.get("warc-block-digest", "").lower().startswith("sha1:"):
+                raise Bad("no digest in a broken member")
+        except Bad as e:
+            if gap is None:
+                gap, why = i, str(e)
+            found = _VERSION.search(raw, i + 1)
+            i = found.start() if found else len(raw)
+            continue
+        if gap is not None:
+            yield None, None, f"{why}, bytes {gap} to {i} of the member"
+            gap = None
+        yield head, payload, broken
+        i = end
+    if broken:
+        yield None, None, f"{broken}, after byte {len(raw) if gap is None else gap} of its content"
+    elif gap is not None:
+        yield None, None, f"{why}, bytes {gap} to {len(raw)} of the member"
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, bytes | None, str | None]]:
-    """(offset, length, header, payload, reason) of each record, and of each gap with a header of None."""
-    at, gap, why = 0, None, ""
+    """(offset, length, header, payload, reason) of each record, and of each gap with a header of None.
+
+    What lies in a member of several has the member's place. A record has a reason if its member is broken.
+    """
+    at, gap, why, seen = 0, None, "", 0
     while at < len(data):
         try:
             if data[at : at + 2] == b"\x1f\x8b":
-                raw, end = _inflate(data, at)
-                found, i = [], 0
-                while i < len(raw):
-                    head, block, i = _parse(raw, i)
-                    found.append((head, _payload(head, block)))
+                raw, end, broken = _inflate(data, at)
+                found = list(_inside(raw, broken))
+                if found and all(head is None for head, *_ in found):
+                    raise Bad(broken or found[0][2])
+                if broken:
+                    # a next member may start in what was taken for this one's; version lines there are its own
+                    seen = max(seen, end)
+                    end = _next(data, at + 1, seen)
             else:
                 head, block, end = _parse(data, at)
-                found = [(head, _payload(head, block))]
+                found = [(head, _payload(head, block), None)]
         except Bad as e:
             if gap is None:
                 gap, why = at, str(e)
-            places = [p for m in (b"\x1f\x8b\x08", b"WARC/1.", b"WARC/0.") if (p := data.find(m, at + 1)) >= 0]
-            at = min(places, default=len(data))
+            at = _next(data, at + 1, seen)
             continue
         if gap is not None:
             yield gap, at - gap, None, None, why
             gap = None
-        for head, payload in found:
-            yield at, end - at, head, payload, None
+        for head, payload, reason in found:
+            yield at, end - at, head, payload, reason
         at = end
     if gap is not None:
         yield gap, len(data) - gap, None, None, why
 
 
+def _next(data: bytes, at: int, seen: int) -> int:
+    """The next place from ``at`` where a member may start, or a record from ``seen`` on."""
+    for m in _START.finditer(data, at):
+        if m.start() >= seen or m[0] == b"\x1f\x8b\x08":
+            return m.start()
+    return len(data)
+
+
 def write_warc(records: DataFrame, path: str) -> DataFrame:
     """Write rows (page_id, url, payload, refers_to, revisit) as archives under ``path``; a stored table of the files.
 
@@ -203,7 +262,8 @@ def write_warc(records: DataFrame, path: str) -> DataFrame:
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Records and gaps of the archives under ``path`` (any path Spark reads), ``status`` telling them apart.
 
-    A gap has its file, offset, length and reason; a record also its header's fields and payload. A revisit's
+    A gap has its file, offset, length and reason; a record also its header's fields and payload, and a reason
+    only if it was salvaged from a member that is cut off or broken. A revisit's
     length and digest are those of the payload it stands for. Files without a byte, and paths without a file,
     give no rows.
     """
@@ -221,7 +281,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                     else:
                         named = head.get("warc-payload-digest", "")[5:].upper() or None
                         size, sum_ = (number(head, "x-payload-length"), named) if payload is None else (len(payload), digest(payload))
-                        rows.append((file, at, length, "record", None, head.get("warc-type"), head.get("warc-record-id"), head.get("warc-target-uri"), number(head, "x-page-id"), number(head, "x-refers-to-page-id"), size, sum_, payload if with_payload else None))
+                        rows.append((file, at, length, "record", reason, head.get("warc-type"), head.get("warc-record-id"), head.get("warc-target-uri"), number(head, "x-page-id"), number(head, "x-refers-to-page-id"), size, sum_, payload if with_payload else None))
                     held += len(payload or b"") * with_payload + len((head or {}).get("warc-target-uri", ""))
                     if len(rows) >= 2000 or held >= 16 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)

@@ -99,6 +99,38 @@ def test_salvage_loses_only_what_is_damaged(packed):
     assert list(warc.salvage(b"")) == []
 
 
+def test_salvage_within_a_member_of_several_records():
+    r = random.Random(9)
+    records = [warc.record(k, f"u{k}", f"payload {k} {r.random()} ".encode() + r.randbytes(3000), None, False) for k in range(60)]
+    starts = np.cumsum([0, *map(len, records)])
+
+    def ids(data):
+        out = list(warc.salvage(data))
+        assert all(why for *_, h, _, why in out if h is None)
+        return [int(h["x-page-id"]) for _, _, h, _, _ in out if h], [why for *_, h, _, why in out if h is None], {why for *_, h, _, why in out if h}
+
+    whole = b"".join(records)
+    assert ids(warc.member(whole)) == (list(range(60)), [], {None})
+    bad = bytearray(whole)
+    for k in (0, 7, 8, 59):
+        bad[starts[k + 1] - 100] ^= 0x5A
+    got, gaps, _ = ids(warc.member(bytes(bad)))
+    assert got == [k for k in range(60) if k not in (0, 7, 8, 59)] and len(gaps) == 3
+    last = warc.member(warc.record(99, "u99", b"last", None, False))
+    for level in (0, 3):  # stored and packed
+        m = warc.member(whole, level)
+        got, gaps, why = ids(m[: len(m) * 2 // 3])  # a cut-off end
+        assert got == list(range(len(got))) and 37 <= len(got) <= 40 and gaps and why == {"member cut off"}
+        got, gaps, _ = ids(m[: len(m) * 2 // 3] + last)  # a cut-off end before another member
+        assert got[-1] == 99 and got[:-1] == list(range(len(got) - 1)) and 37 <= len(got) <= 41 and gaps
+        got, gaps, why = ids(m[:-6] + b"\0\0" + m[-4:] + last)  # a wrong checksum
+        assert got == [*range(60), 99] and len(gaps) == 1 and why == {"member does not decompress", None}
+    m = bytearray(warc.member(whole))
+    m[len(m) // 2 : len(m) // 2 + 40] = bytes(40)
+    got, gaps, _ = ids(bytes(m) + last)
+    assert got[-1] == 99 and got[:29] == list(range(29)) and len(set(got)) == len(got) and gaps
+
+
 def exact_top(rows, k):
     v = {}
     for i, x in rows:
