@@ -345,13 +345,25 @@ def _partnered(batches):
         yield from table.filter(pa.array(keep)).to_batches()
 
 
+def _halves(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    key = _rows(column, np.int64, 2)
+    return key[:, 0].copy(), key[:, 1].copy()
+
+
+def _split(batches):
+    """(c, c0, c1): of each key its halves, as numbers."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, _halves(b.column(0)))], ["c", "c0", "c1"])
+
+
 def _spread(size: int):
-    """(h, v): the shingles of rows (v, c, text)."""
+    """(h, c0, c1): the shingles of rows (v, c, text), each with the halves of its class's key."""
 
     def run(batches):
         for b in batches:
+            c0, c1 = _halves(b.column(1))
             for at, end, n, value in _shingled(b.column(2), size):
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy()[at:end], n))], ["h", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.repeat(c0[at:end], n)), pa.array(np.repeat(c1[at:end], n))], ["h", "c0", "c1"])
 
     return run
 
@@ -390,15 +402,15 @@ class _Join:
         return stored(both, "tested")
 
     def sharing(self, texts: DataFrame) -> DataFrame:
-        """(v, shared): of each of ``texts`` the number of shingles that others have too.
+        """(c, n, shared): of each of ``texts`` the number of shingles, and of those that other classes have too.
 
         With ``m`` the smaller number of two sets, their similarity is at most ``m / (n1 + n2 - m)``: sets with
         edits of their own drop out against each other without a comparison.
         """
-        found = texts.mapInArrow(_spread(self.size), "h bigint, v bigint")
-        own = found.groupBy("h").agg(F.count("*").alias("k"), F.min("v").alias("v")).where(F.col("k") == 1).groupBy("v").agg(F.count("*").alias("own"))
-        sizes = texts.select("v").join(self.classes.select("v", "n"), "v")
-        return stored(sizes.join(own, "v", "left").select("v", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")), "sharing")
+        found = texts.mapInArrow(_spread(self.size), "h bigint, c0 bigint, c1 bigint")
+        own = found.groupBy("h").agg(F.count("*").alias("k"), F.min("c0").alias("c0"), F.min("c1").alias("c1")).where(F.col("k") == 1).groupBy("c0", "c1").agg(F.count("*").alias("own"))
+        sizes = texts.select("c").mapInArrow(_split, "c binary, c0 bigint, c1 bigint").join(self.classes.select("c", "n"), "c")
+        return stored(sizes.join(own, ["c0", "c1"], "left").select("c", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")), "sharing")
 
     def several(self, rows: DataFrame) -> DataFrame:
         """Rows (node, block, label, ...) of blocks that hold several labels, with the block's ``size``."""
@@ -445,15 +457,13 @@ class _Join:
         big = self.several(labelled(roots.where(F.col("size") > LEAF).select("node", "block", "v", "c").withColumn("shared", zero), first))
         big = self.branched(big).drop("shared")
         texts = self.whole_texts(leaves.select("v", "c").unionByName(big.select("v", "c")))
-        sharing = self.sharing(texts)
-        alive = sharing.join(self.classes.select("v", "n"), "v").where(100 * F.col("shared") >= self.threshold * F.col("n"))
-        alive = stored(alive, "alive")
+        alive = stored(self.sharing(texts).where(100 * F.col("shared") >= self.threshold * F.col("n")), "alive")
         few = alive.count() <= MAX_SENT
         sent = F.broadcast(alive) if few else alive
-        fine = texts.join(sent.select("v"), "v").mapInArrow(_finer(self.size), "v bigint, c binary, sig binary")
-        self.fine = stored(fine.join(sent.select("v", "n"), "v").select("c", "sig", "n"), "fine")
-        sent = sent.select("v", "shared")
-        leaves, big = leaves.join(sent, "v"), big.join(sent, "v")
+        fine = texts.join(sent.select("c"), "c").select("v", "c", "text").mapInArrow(_finer(self.size), "v bigint, c binary, sig binary")
+        self.fine = stored(fine.join(sent.select("c", "n"), "c").select("c", "sig", "n"), "fine")
+        sent = sent.select("c", "shared")
+        leaves, big = leaves.join(sent, "c"), big.join(sent, "c")
         new = self.in_blocks(self.finely_signed(leaves)).mapInArrow(_compare(True), _PAIRS).join(tested.select("ca", "cb"), ["ca", "cb"], "left_anti")
         tested = tested.unionByName(self.confirmed(new, texts))
         second = stored(components(tested.where("linked").select("a", "b")), "second")
@@ -480,7 +490,7 @@ class _Join:
         main = each.groupBy("node").agg(F.max(F.struct("n", "label")).alias("m"), F.first("size").alias("size"))
         main = main.select("node", "size", F.col("m.label").alias("main"), F.greatest(F.lit(1), F.ceil((F.col("size") - F.col("m.n")) / BLOCK)).cast("bigint").alias("parts"))
         rows = stored(self.finely_signed(join_groups(big.drop("size", "block"), main, ["node"], "size", self.total * TREES * BRANCH**DEPTH)), "remaining")
-        rows = rows.join(rows.groupBy("v").agg(F.collect_set("node").alias("nodes")), "v")  # at most one a tree and branch
+        rows = rows.join(rows.groupBy("c").agg(F.collect_set("node").alias("nodes")), "c")  # at most one a tree and branch
         blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("bigint")
         few = rows.where(F.col("label") != F.col("main"))
         few = few.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")))  # the few are dealt into parts, each meets every block

@@ -106,6 +106,20 @@ def test_near_dedup_of_large_groups(spark):
     assert got == label
 
 
+def test_near_dedup_of_ids_with_two_texts(spark):
+    """A pair that links, beside a less similar one of the same two ids with more shingles of its own."""
+    r = np.random.default_rng(12)
+    new = lambda n: [f"w{x}" for x in r.integers(0, 10**9, n)]
+    rows = []
+    for k in range(150):
+        x, y = new(84), new(84)
+        rows += [(2 * k, " ".join(x)), (2 * k + 1, " ".join([*x[:40], *new(5), *x[45:]]))]
+        rows += [(2 * k, " ".join(y)), (2 * k + 1, " ".join([*y[:40], *new(16), *y[56:]]))]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    assert [x for x in got if x.component_id != x.doc_id // 2 * 2] == []
+
+
 def test_mix(docs, rows, empty, spark):
     sizes = defaultdict(int)
     for i, t, _, s, _ in rows:
