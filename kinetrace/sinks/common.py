@@ -62,6 +62,16 @@ class Export:
         pointers = self.dataset.frames([r["episode_pos"] for r in self.rows]).select("path", "container", "offset", "size", "episode_pos", "camera")
         return long.join(pointers, ["episode_pos", "camera", "path"]).drop("episode_pos")
 
+    def check_cameras(self) -> None:
+        """An error unless every episode shows a frame of each camera in each row."""
+        if not self.dataset.camera_names:
+            return
+        counts = {(r.episode_index, r.camera): r.n for r in self.shown().groupBy("episode_index", "camera").agg(F.count("*").alias("n")).collect()}
+        for r in self.rows:
+            for c in self.dataset.camera_names:
+                if (n := counts.get((r["episode_index"], c), 0)) != r["length"]:
+                    raise ValueError(f"camera {c!r} of episode {r['episode_pos']} has {n} video frames, but its data has {r['length']} rows")
+
     def statistics(self, *keys: str) -> DataFrame:
         """(keys, feature, min.., count as arrays): vectors by place, scalars as one-element arrays."""
         parts = []

@@ -19,6 +19,7 @@ EPISODE_SCALARS = [c for c in SCALARS if c not in ("success", "last_frame_index"
 def write(dataset, output: Path, **options) -> Export:
     """Options: fps=30, train_split=0.8, smoothing_cutoff=1.0, success_only=False."""
     x = Export(dataset, output, **options)
+    x.check_cameras()
     write_data(x, output)
     if dataset.camera_names:
         x.videos(output, "videos/chunk-{chunk:03d}/{key}/episode_{file:06d}.mp4")

@@ -23,6 +23,7 @@ DATA_MB, VIDEO_MB = 100, 200
 def write(dataset, output: Path, data_mb: float = DATA_MB, video_mb: float = VIDEO_MB, **options) -> Export:
     """Options: fps=30, train_split=0.8, smoothing_cutoff=1.0, success_only=False."""
     x = Export(dataset, output, **options)
+    x.check_cameras()
     files = write_data(x, output, data_mb)
     places = x.video_places(video_mb) if dataset.camera_names else {}
     if places:

@@ -1,6 +1,7 @@
 """Datasets of all layouts: metadata, scans, alignment, quality, merging and writers."""
 
 import json
+import shutil
 
 import numpy as np
 import pandas as pd
@@ -259,6 +260,15 @@ def test_exports_of_tars_describe_images_like_those_of_folders(roots, spark, tmp
         assert all("observation.images.head" in json.loads(x)["stats"] for x in (two / "episodes_stats.jsonl").read_text().splitlines())
 
 
+@pytest.mark.parametrize("format", ["lerobot_v2.1", "lerobot_v3.0"])
+def test_exports_stop_where_a_camera_lacks_frames(spark, tmp_path, format):
+    root = rec.write(spark, tmp_path / "d", "0.3.0")
+    shutil.rmtree(root / "episodes" / "3" / "cameras" / "head")
+    with pytest.raises(ValueError, match="'head' of episode 1 has 0 video frames"):
+        Dataset(root, spark).write(tmp_path / "out", format=format)
+    assert not list(tmp_path.glob("out/**/*.parquet"))
+
+
 def test_long_series(roots, spark, tmp_path):
     d = Dataset(roots["0.3.0"], spark)
     d.write(tmp_path, format="rrd", fps=30)
