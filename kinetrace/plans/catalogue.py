@@ -14,10 +14,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..operators import align, episodes, repair, stats
+from ..operators import align, episodes, repair, smooth, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Queries that no SQL expresses.
+ROWS_ONLY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: The grid of the alignment queries, in microseconds.
 STEP = 6 * 3600 * 1_000_000
 WIDTH = 64
@@ -468,3 +470,18 @@ def export_features(spark, sf):
     table = episodes.global_index(episodes.episode_remap(kept.join(lengths, "e"), "e"), "episode_index", "n")
     out = frames.join(table, "e")
     return out.select("episode_index", "frame_index", (F.col("dataset_from_index") + F.col("frame_index")).alias("index"), (F.col("frame_index") / 30.0).alias("timestamp"), F.col("s").cast("bigint").alias("success"), (F.col("n") - 1).alias("last_frame_index"))
+
+
+# smoothing
+
+
+def smooth_series(spark, sf):
+    """Every stream of the events, filtered in the order of time and id; a null reading leaves its stream as it is."""
+    order = W.partitionBy("episode", "stream").orderBy("t", "event_id")
+    r = readings(spark, sf).withColumn("row_pos", F.row_number().over(order).cast("bigint"))
+    r = r.withColumn("values", F.when(F.col("value").isNotNull(), F.array(F.col("value").cast("double"))))
+    r = smooth.smoothed(r.select("episode", "stream", "t", "event_id", "row_pos", "values"), ["episode", "stream"], 5.0)
+    return r.select("episode", "stream", "t", "event_id", F.get("values", F.lit(0)).alias("value"))
+
+
+ROWS_ONLY["smooth_series"] = smooth_series

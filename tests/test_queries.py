@@ -44,6 +44,21 @@ def test_query_equals_its_sql(spark, sf_dir, duck, name):
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
 
 
+def test_smooth_series_filters_every_stream(spark, sf_dir):
+    from kinetrace.operators.smooth import zero_phase
+
+    got, want = {}, {}
+    for x in __spark_entry__.queries()["smooth_series"](spark, sf_dir).collect():
+        got[x.event_id] = x.value
+    streams = {}
+    for x in catalogue.readings(spark, sf_dir).collect():
+        streams.setdefault((x.episode, x.stream), []).append((x.t, x.event_id, x.value))
+    for own in streams.values():
+        own.sort()
+        want |= zip((e for _, e, _ in own), zero_phase([[v] for *_, v in own], 5.0)[:, 0])
+    assert got.keys() == want.keys() and all(abs(got[e] - v) < 1e-9 for e, v in want.items())
+
+
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() > 0 and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
