@@ -3,41 +3,54 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Internal columns start with this, so that they clash with no column of the caller.
 P = "__kt_"
-#: A null id counts as the largest.
+#: A null id counts as the largest; an id of this very number counts as null.
 NULL_ID = 9223372036854775807
 #: At most this many groups are ever broadcast by ``join_groups``; a row of them has some 100 bytes.
-MAX_HEAVY = 4096
+MAX_HEAVY = 1 << 17
+#: Groups up to this size are never broadcast.
+LIGHT = 256
 
 BATCH_BYTES = 4 << 20
 
 _own_dirs: dict[str, str] = {}
+_made: list[str] = []
+_at_exit: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary one only where none is set (tests, one machine)."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary one only where none is set and one machine does all."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="kinetrace-")
-        spark.sparkContext.setCheckpointDir(_own_dirs[app])
-        import shutil
-
         atexit.register(shutil.rmtree, _own_dirs[app], True)
     return "file://" + _own_dirs[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/kinetrace-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new place in the shared folder, which ``tables`` deletes with the other tables made meanwhile."""
+    app = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark)}/kinetrace-{app}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    if app not in _at_exit:  # results may read tables to the end of the session
+        _at_exit.add(app)
+        atexit.register(release, spark)
+    return path
 
 
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -46,26 +59,49 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = new_path(spark, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kinetrace_path = path
+    return out
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete a table made by ``stored`` once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        while "kinetrace-" in (path.getParent().getName() or "") and not path.getParent().getName().startswith("kinetrace-" + spark.sparkContext.applicationId):
-            path = path.getParent()
-        if "kinetrace-" + spark.sparkContext.applicationId in str(path.getParent()):
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def drop_stored(*tables_: DataFrame) -> None:
+    """Delete tables made by ``stored`` once nothing reads them any more."""
+    for df in tables_:
+        if (path := df._kinetrace_path) in _made:
+            _made.remove(path)
+            _delete(df.sparkSession, path)
+
+
+@contextmanager
+def tables(spark: SparkSession) -> Iterator[Callable]:
+    """Deletes the tables made within, but for those that the yielded function is given (a table or a path).
+
+    A result that is still to be computed keeps what it reads. After an error everything goes.
+    """
+    before, kept = len(_made), set()
+    try:
+        yield lambda *x: kept.update(getattr(t, "_kinetrace_path", t) for t in x)
+    except BaseException:
+        kept.clear()
+        raise
+    finally:
+        for path in [p for p in _made[before:] if p not in kept]:
+            _made.remove(path)
+            with suppress(Exception):  # a folder that can't be deleted is no reason to lose a result
+                _delete(spark, path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete every table this session left in the shared folder; results not yet written become unreadable."""
-    jvm, app = spark.sparkContext._jvm, spark.sparkContext.applicationId
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/kinetrace-{app}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    with suppress(Exception):  # a session that has ended
+        app = spark.sparkContext.applicationId
+        _made[:] = [p for p in _made if f"/kinetrace-{app}/" not in p]
+        _delete(spark, f"{shared_dir(spark)}/kinetrace-{app}")
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -126,10 +162,11 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str,
     """Attach one row of ``groups`` to each of the rows that share its key, however large the group.
 
     Groups of over ``total / MAX_HEAVY`` rows number at most ``MAX_HEAVY``, whatever the input: those are
-    broadcast, so their rows stay where they are. All others have bounded size and meet in a shuffle.
+    broadcast, so their rows stay where they are. All others are a 131072th of the rows at most, or ``LIGHT``
+    rows, and meet in a shuffle.
     ``rows`` must have at most ``total`` rows; ``groups`` has one row a key with its size in ``count``.
     """
-    least = max(total // MAX_HEAVY, 64)
+    least = max(total // MAX_HEAVY, LIGHT)
     heavy = groups.where(F.col(count) > least)
     light = groups.where(F.col(count) <= least)
     flag = heavy.select(*keys, F.lit(True).alias(P + "heavy"))
