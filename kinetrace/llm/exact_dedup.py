@@ -1,14 +1,15 @@
 """Exact deduplication with a two-pass Bloom filter.
 
 Pass one keeps, for every bit of a Bloom filter, whether it was set at least once and at least twice.
-Each task marks its own rows, sparse segments of the two planes meet in a shuffle keyed by segment, and
-two segments merge as ``ones = a1 | b1``, ``twos = a2 | b2 | (a1 & b1)``. A hash that occurs twice has all
-its bits in ``twos``. Pass two tests every row against ``twos``: rows that miss a bit are unique for certain
-and pass straight through; only the others, the possibly repeated ones, shuffle to be grouped exactly.
-
-All bits of a hash lie in one segment, so the filter can be tested in slices of segments. The filter has
-``bits_per_row`` bits a row up to ``MAX_SLICES * SLICE_BYTES``; beyond that more rows shuffle and the result
-stays the same.
+Each task sends the positions that its own rows set, by segment of the filter; the tasks that merge a segment
+make its two planes: what is set again, or was set twice by one task, is in ``twos``. A hash that occurs twice
+has all its bits in ``twos``. Pass two tests every row against ``twos``: rows that miss a bit are unique for
+certain and pass straight through; only the others, the possibly repeated ones, shuffle to be grouped exactly.
+
+All bits of a hash lie in one segment, and slices of segments are tested one after another; the table of
+hashes is kept apart by slice, so that all tests together read it once. The filter has ``bits_per_row`` bits a
+row up to ``MAX_SLICES * SLICE_BYTES``, some 10**9 rows; beyond that more rows shuffle and the result stays
+the same: at 4 * 10**9 rows some 15 % of the unique ones.
 """
 
 from __future__ import annotations
@@ -18,16 +19,19 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, id_or_last, join_groups, stored, text_of
+from .common import NULL_ID, P, drop_stored, id_or_last, join_groups, stored, tables, text_of
 
 SEGMENT_BITS = 1 << 18
 #: Broadcast at once, at most.
 SLICE_BYTES = 64 << 20
 MAX_SLICES = 32
 HASHES = 3
+#: Hashes of a task that are sorted together.
+CHUNK = 1 << 20
+A_SLICE = SLICE_BYTES * 8 // SEGMENT_BITS
 
 
 def _positions(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,82 +43,98 @@ def _positions(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     return segment.astype(np.int64), bits
 
 
+def _binaries(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """32-bit numbers as one binary value between each two cuts."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((4 * cuts).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def _mark(segments: int):
+    """(segment, ones, twos): positions that a chunk of hashes sets, and those it sets more than once."""
+
+    def marked(held: list[np.ndarray]) -> pa.RecordBatch:
+        segment, bits = _positions(np.concatenate(held), segments)
+        key, times = np.unique(segment[:, None] * SEGMENT_BITS + bits, return_counts=True)
+        owner, position, twice = key // SEGMENT_BITS, (key % SEGMENT_BITS).astype("<u4"), times > 1
+        cuts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True])))
+        before = np.concatenate(([0], np.cumsum(twice)))
+        return pa.RecordBatch.from_arrays([pa.array(owner[cuts[:-1]]), _binaries(position, cuts), _binaries(position[twice], before[cuts])], ["segment", "ones", "twos"])
+
     def run(batches):
-        parts = [np.asarray(b.column(0)) for b in batches]
-        h = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        if not len(h):
-            return
-        segment, bits = _positions(h, segments)
-        order = np.argsort(segment, kind="stable")
-        segment, bits = segment[order], bits[order]
-        starts = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
-        ends = [*starts[1:], len(segment)]
-        for lo in range(0, len(starts), 256):
-            rows = []
-            for s, e in zip(starts[lo : lo + 256], ends[lo : lo + 256]):
-                n = np.bincount(bits[s:e].ravel(), minlength=SEGMENT_BITS)
-                rows.append((int(segment[s]), zlib.compress(np.packbits(n > 0).tobytes(), 1), zlib.compress(np.packbits(n > 1).tobytes(), 1)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["segment", "ones", "twos"])
+        held, n = [], 0
+        for b in batches:
+            held.append(np.asarray(b.column(0)))
+            n += b.num_rows
+            if n >= CHUNK:
+                yield marked(held)
+                held, n = [], 0
+        if n:
+            yield marked(held)
 
     return run
 
 
 def _merge(batches):
-    """Of segments in order: one row each, kept only if a bit was set twice."""
-    now, ones, twos = None, None, None
+    """Of segments in order: the plane of what was set twice, left out where nothing was."""
+    now, ones, twos = None, np.zeros(SEGMENT_BITS, bool), np.zeros(SEGMENT_BITS, bool)
 
     def closed():
         if now is not None and twos.any():
-            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([zlib.compress(twos.tobytes(), 1)], pa.binary())], ["segment", "twos"])
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([zlib.compress(np.packbits(twos).tobytes(), 1)], pa.binary())], ["segment", "twos"])
 
     for b in batches:
-        for s, a1, a2 in zip(*(c.to_pylist() for c in b.columns)):
-            a1, a2 = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a1, a2))
+        for s, *both in zip(*(c.to_pylist() for c in b.columns)):
+            once, twice = (np.frombuffer(x, "<u4") for x in both)
             if s != now:
                 yield from closed()
-                now, ones, twos = s, a1.copy(), a2.copy()
-            else:
-                twos |= a2 | (ones & a1)
-                ones |= a1
+                now = s
+                ones[:] = twos[:] = False
+            twos[once[ones[once]]] = True
+            twos[twice] = True
+            ones[once] = True
     yield from closed()
 
 
-def possibly_repeated(hashes: DataFrame, column: str, rows: int, bits_per_row: int = 16) -> DataFrame:
+def filter_size(rows: int, bits_per_row: int = 16) -> int:
+    """Segments of the filter for so many rows."""
+    return min(max(1, -(-rows * bits_per_row // SEGMENT_BITS)), MAX_SLICES * A_SLICE)
+
+
+def slice_of(h: Column, segments: int) -> Column:
+    """The slice that a hash is tested in; ``_positions`` says the same of its segment."""
+    return F.floor(F.shiftright(F.shiftrightunsigned(h, 32) * F.lit(segments), 32) / F.lit(A_SLICE)).cast("int")
+
+
+def possibly_repeated(hashes: DataFrame, column: str, segments: int) -> DataFrame:
     """``hashes`` with a boolean ``__kt_maybe``: false only for values of the bigint ``column`` that occur once.
 
-    ``hashes`` is read twice or more and should be a stored table without nulls in ``column``.
+    ``hashes`` is read twice and should be a stored table without nulls in ``column``; where it is partitioned by
+    a column ``__kt_slice``, which is ``slice_of`` the hash, each test reads its slice only.
     """
     spark = hashes.sparkSession
-    most = MAX_SLICES * SLICE_BYTES * 8 // SEGMENT_BITS
-    segments = min(max(1, -(-rows * bits_per_row // SEGMENT_BITS)), most)
     marked = hashes.select(column).mapInArrow(_mark(segments), "segment bigint, ones binary, twos binary")
     merged = marked.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge, "segment bigint, twos binary")
     merged = stored(merged, "bloom")
-    a_slice = SLICE_BYTES * 8 // SEGMENT_BITS
+    apart = F.col(P + "slice") if P + "slice" in hashes.columns else slice_of(F.col(column), segments)
     out = None
-    for low in range(0, segments, a_slice):
-        count = min(a_slice, segments - low)
-        plane = np.zeros((count, SEGMENT_BITS // 8), np.uint8)
-        for r in merged.where(F.col("segment").between(low, low + count - 1)).toLocalIterator():
+    for k, low in enumerate(range(0, segments, A_SLICE)):
+        plane = np.zeros((min(A_SLICE, segments - low), SEGMENT_BITS // 8), np.uint8)
+        for r in merged.where(F.col("segment").between(low, low + len(plane) - 1)).toLocalIterator():
             plane[r.segment - low] = np.frombuffer(zlib.decompress(bytes(r.twos)), np.uint8)
         sent = spark.sparkContext.broadcast(plane)
 
-        def test(batches, sent=sent, low=low, count=count, segments=segments, column=column):
+        def test(batches, sent=sent, low=low):
             plane = sent.value
             for b in batches:
                 segment, bits = _positions(np.asarray(b.column(b.schema.get_field_index(column))), segments)
-                at = segment - low
-                mine = (at >= 0) & (at < count)
-                at, bits = at[mine], bits[mine]
-                hit = np.ones(len(at), bool)
-                for k in range(HASHES):
-                    hit &= (plane[at, bits[:, k] >> 3] >> (7 - (bits[:, k] & 7)).astype(np.uint8)) & 1 > 0
-                yield pa.RecordBatch.from_arrays([*b.filter(pa.array(mine)).columns, pa.array(hit)], [*b.schema.names, P + "maybe"])
+                at, hit = segment - low, np.ones(len(segment), bool)
+                for i in range(HASHES):
+                    hit &= (plane[at, bits[:, i] >> 3] >> (7 - (bits[:, i] & 7)).astype(np.uint8)) & 1 > 0
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit)], [*b.schema.names, P + "maybe"])
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hashes.schema)
-        part = hashes.mapInArrow(test, f"{schema}, {P}maybe boolean")
+        part = (hashes.where(apart == k) if segments > A_SLICE else hashes).mapInArrow(test, f"{schema}, {P}maybe boolean")
         out = part if out is None else out.unionByName(part)
+    drop_stored(merged)
     return out
 
 
@@ -127,17 +147,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Other columns are not read. SHA-256 stands for the text; the filter uses 64 bits of a hash of it.
     """
     sha = F.sha2(text_of(text_col), 256)
-    rows = stored(docs.select(id_or_last(id_col).alias("id"), F.unhex(sha).alias("sha")), "sha")
-    rows = rows.withColumn("h", F.xxhash64("sha"))
-    total = rows.count()
-    tested = stored(possibly_repeated(rows, "h", total), "tested").drop("h")
-    maybe = tested.where(F.col(P + "maybe")).drop(P + "maybe")
-    groups = maybe.groupBy("sha").agg(F.max("id").alias("keep"), F.count("*").alias("size"))
-    groups = stored(groups, "groups")
+    total = docs.count()
+    segments = filter_size(total)
+    with tables(docs.sparkSession) as keep:
+        rows = docs.select(id_or_last(id_col).alias("id"), F.unhex(sha).alias("sha")).withColumn("h", F.xxhash64("sha"))
+        if segments > A_SLICE:
+            rows = stored(rows.withColumn(P + "slice", slice_of(F.col("h"), segments)), "sha", P + "slice")
+        else:
+            rows = stored(rows, "sha")
+        tested = stored(possibly_repeated(rows, "h", segments).select("id", "sha", P + "maybe"), "tested")
+        maybe = tested.where(F.col(P + "maybe")).drop(P + "maybe")
+        groups = stored(maybe.groupBy("sha").agg(F.max("id").alias("keep"), F.count("*").alias("size")), "groups")
+        keep(tested, groups)
     repeated = join_groups(maybe, groups, ["sha"], "size", total)
     single = tested.where(~F.col(P + "maybe")).drop(P + "maybe").withColumns({"keep": F.col("id"), "size": F.lit(1).cast("bigint")})
     both = single.unionByName(repeated)
-    null_id = lambda c: F.when(F.col(c) != F.lit(9223372036854775807), F.col(c))
+    null_id = lambda c: F.when(F.col(c) != F.lit(NULL_ID), F.col(c))
     return both.select(
         null_id("id").alias(id_col),
         null_id("keep").alias("keep_id"),
