@@ -1,4 +1,8 @@
-"""Hashed words and structure statistics of whole texts, and bounded samples of labelled ones."""
+"""Hashed words and structure statistics of whole texts, and bounded samples of labelled ones.
+
+The metadata that the text itself decides, its bytes, characters, words and lines, are statistics too. Ids,
+languages, sources and stored counts never are.
+"""
 
 from __future__ import annotations
 
@@ -8,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import bounded_batches
+from .common import bounded_batches, text_of
 from .mixing import fixed_hash
 
-STATISTICS = ("bytes", "words", "word length", "distinct", "top word", "doubled", "upper", "digits", "marks", "odd marks", "lines")
+STATISTICS = ("bytes", "characters", "words", "word length", "distinct", "top word", "doubled", "upper", "digits", "marks", "odd marks", "lines")
 _UPPER, _DIGIT, _ODD, _LINE = (np.zeros(256, bool) for _ in range(4))
 _UPPER[65:91] = True
 _DIGIT[48:58] = True
@@ -39,7 +43,7 @@ def extracted(column: pa.Array, bits: int, prefixes: tuple[int, ...] = ()):
         some, chars = np.maximum(count, 1), np.maximum(size, 1)
         odd = _sums(_ODD[data], offsets)
         stats = np.stack([
-            np.log1p(size), np.log1p(count), np.bincount(doc, stop - start, n) / some / 8, np.bincount(owner, minlength=n) / some, top / some, doubled / some,
+            np.log1p(size), np.log1p(_sums((data & 0xC0) != 0x80, offsets)), np.log1p(count), np.bincount(doc, stop - start, n) / some / 8, np.bincount(owner, minlength=n) / some, top / some, doubled / some,
             _sums(_UPPER[data], offsets) / chars, _sums(_DIGIT[data], offsets) / chars, _sums(words.MARKS[data], offsets) / chars, odd / chars, _sums(_LINE[data], offsets) / some,
         ], 1).astype(np.float32)
         if heads:
@@ -60,11 +64,16 @@ def sample(docs: DataFrame, labels: DataFrame, columns: list[str], most: int, bi
     """(labels, statistics, offsets, buckets, counts) of at most ``most`` labelled documents outside fold 0.
 
     Documents come in the order of a hash of their ids, so reruns agree. Rows without an id or one of the
-    labels take no part; of rows of one id one does. Only features are gathered, and only of the sample.
+    labels take no part. An id is labelled once, by the least of its rows of labels, and of several texts of one
+    id the one of the least hash counts. Only features are gathered, and only of the sample.
     """
     chosen = labels.select(id_col, *[F.col(c).cast("double").alias(f"l{k}") for k, c in enumerate(columns)]).where(F.col(id_col).isNotNull()).dropna()
-    chosen = chosen.where(fold(id_col) != 0).withColumn("h", fixed_hash(id_col)).orderBy("h", id_col).limit(most).dropDuplicates([id_col])
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).dropDuplicates([id_col])
+    names = [f"l{k}" for k in range(len(columns))]
+    chosen = chosen.where(fold(id_col) != 0).groupBy(id_col).agg(F.min(F.struct(*names)).alias("y")).select(id_col, *[F.col(f"y.{c}").alias(c) for c in names])
+    chosen = chosen.withColumn("h", fixed_hash(F.col(id_col).cast("string"))).orderBy("h", id_col).limit(most)
+    texts = docs.select(id_col, text_of(text_col).alias("text")).join(F.broadcast(chosen.select(id_col)), id_col)
+    texts = texts.groupBy(id_col).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = texts.join(F.broadcast(chosen), id_col)
     n = len(columns)
     bounded_batches(docs.sparkSession)
 
@@ -77,7 +86,7 @@ def sample(docs: DataFrame, labels: DataFrame, columns: list[str], most: int, bi
 
     names = ["h", *(f"l{k}" for k in range(n)), "stats", "buckets", "times"]
     schema = "h bigint, " + "".join(f"l{k} double, " for k in range(n)) + "stats array<float>, buckets array<int>, times array<int>"
-    table = rows.select(id_col, text_col, *(f"l{k}" for k in range(n)), "h").mapInArrow(run, schema).toArrow().sort_by("h").combine_chunks()
+    table = rows.select(id_col, "text", *(f"l{k}" for k in range(n)), "h").mapInArrow(run, schema).toArrow().sort_by("h").combine_chunks()
     if not table.num_rows:
         return np.zeros((0, n)), np.zeros((0, len(STATISTICS)), np.float32), np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
     y = np.stack([table.column(f"l{k}").to_numpy() for k in range(n)], 1)

@@ -1,9 +1,10 @@
 """Toxicity categories by a classifier chain.
 
-The categories are predicted one after another. Each link is a logistic model on the presence of hashed words
-and of hashed word beginnings (which catch inflected forms), on structure statistics, and on the logits of
-all earlier links. For training, those earlier logits are out of fold: of models that have not seen the
-document, so that later links meet the same kind of inputs as when they are used.
+The categories, which are columns of the labels, are predicted one after another. Each link is a logistic model
+on the presence of hashed words and of hashed word beginnings (which catch inflected forms), on structure
+statistics, and on the probabilities of all earlier links. For training, those earlier probabilities are out of
+fold: of models that have not seen the document, so that later links meet the same kind of inputs as when they
+are used.
 """
 
 from __future__ import annotations
@@ -25,17 +26,16 @@ SAMPLE = 12_000
 FOLDS = 4
 #: Buckets a link uses: those that tell its classes apart best.
 SELECTED = 1024
-#: A toxic document is severe with this many different of the SEVERE_TERMS most telling buckets.
-SEVERE_LEAST, SEVERE_TERMS = 12, 48
 CUT = 0.3
-CATEGORIES = ("low_quality", "toxic", "severe")
+#: Columns of the labels in the order of the chain; the last is the one that ``score`` and ``toxic`` tell.
+CATEGORIES = ("quality", "toxic")
 
 
 @dataclass
 class Link:
     buckets: np.ndarray
     weights: np.ndarray  # of the buckets
-    dense: np.ndarray  # of the statistics and the earlier logits
+    dense: np.ndarray  # of the statistics and the earlier probabilities
     bias: float
 
 
@@ -77,7 +77,7 @@ def train_link(y: np.ndarray, doc: np.ndarray, bucket: np.ndarray, dense: np.nda
     m, s = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
         logit = np.bincount(doc, w[at], n) + dense @ w[k:-1] + w[-1]
-        e = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / n
+        e = (logistic(logit) - y) / n
         g = np.concatenate((np.bincount(at, e[doc], k), e @ dense, [e.sum()]))
         g[:-1] += decay * w[:-1]
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
@@ -93,8 +93,8 @@ def logits(link: Link, doc: np.ndarray, bucket: np.ndarray, dense: np.ndarray) -
     return np.bincount(doc[hit], link.weights[at[hit]], len(dense)) + dense @ link.dense + link.bias
 
 
-def squash(x: np.ndarray) -> np.ndarray:
-    return np.clip(x, -12, 12) / 4
+def logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 def train_chain(names: tuple[str, ...], y: np.ndarray, stats: np.ndarray, cut: np.ndarray, bucket: np.ndarray, folds: int = FOLDS) -> Chain:
@@ -112,23 +112,15 @@ def train_chain(names: tuple[str, ...], y: np.ndarray, stats: np.ndarray, cut: n
             new = np.cumsum(mine) - 1
             keep = mine[doc]
             link = train_link(y[mine, c], new[doc[keep]], bucket[keep], dense[mine])
-            outside[~mine] = logits(link, doc, bucket, dense)[~mine]
-        dense = np.column_stack((dense, squash(outside)))
+            outside[~mine] = logistic(logits(link, doc, bucket, dense))[~mine]
+        dense = np.column_stack((dense, outside))
     return chain
 
 
-def severity(y: np.ndarray, cut: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-    """A weak label where none is given: toxic, with many different of the most telling words and beginnings."""
-    doc = np.repeat(np.arange(len(y)), np.diff(cut))
-    terms = telling(y, doc, bucket, SEVERE_TERMS)
-    return y * (np.bincount(doc[np.isin(bucket, terms)], minlength=len(y)) >= SEVERE_LEAST)
-
-
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Chain:
-    """The chain low_quality, toxic, severe on at most ``most`` labelled documents whose fold is not 0."""
-    y, stats, cut, bucket, _ = sample(docs, labels, ["quality", "toxic"], most, BITS, PREFIXES)
-    y = np.column_stack((1 - y[:, 0], y[:, 1], severity(y[:, 1], cut, bucket) if len(y) else y[:, 1]))
-    chain = train_chain(CATEGORIES, y, stats, cut, bucket)
+def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, categories: tuple[str, ...] = CATEGORIES) -> Chain:
+    """A chain over ``categories`` on at most ``most`` labelled documents whose fold is not 0."""
+    y, stats, cut, bucket, _ = sample(docs, labels, list(categories), most, BITS, PREFIXES)
+    chain = train_chain(categories, y, stats, cut, bucket)
     del y, stats, cut, bucket
     trim()
     return chain
@@ -138,16 +130,15 @@ def chained(chain: Chain, stats: np.ndarray, doc: np.ndarray, bucket: np.ndarray
     """Probabilities, a column a category."""
     dense, out = chain.inputs(stats).astype(float), []
     for link in chain.links:
-        x = logits(link, doc, bucket, dense)
-        out.append(1 / (1 + np.exp(-np.clip(x, -30, 30))))
-        dense = np.column_stack((dense, squash(x)))
+        out.append(logistic(logits(link, doc, bucket, dense)))
+        dense = np.column_stack((dense, out[-1]))
     return np.stack(out, 1)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: Chain | None = None, cut: float = CUT) -> DataFrame:
     """One row a document: its id, ``held_out``, a probability ``p_<category>`` each, ``score`` and ``toxic``.
 
-    ``score`` is that of the category toxic, and ``toxic`` whether it reaches ``cut``. Whole texts are read,
+    ``score`` is that of the last category, and ``toxic`` whether it reaches ``cut``. Whole texts are read,
     null and empty ones as texts without a word; repeated rows and null ids get rows of their own; without a
     usable label no document is toxic. Columns other than id and text are not read.
     """
@@ -164,4 +155,4 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     kind = dict(docs.dtypes)[id_col]
     out = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} double" for n in names))
-    return out.select(id_col, (fold(id_col) == 0).alias("held_out"), *names, F.col("p_toxic").alias("score"), (F.col("p_toxic") >= cut).alias("toxic"))
+    return out.select(id_col, (fold(id_col) == 0).alias("held_out"), *names, F.col(names[-1]).alias("score"), (F.col(names[-1]) >= cut).alias("toxic"))
