@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import P, join_groups, stored, text_of
+from .common import P, join_groups, stored, tables, text_of
 
 WEIGHTS = (5, 2, 1)
 MOST_TURNS = 3
@@ -28,9 +28,15 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text_of(text), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
 
 
-def fixed_hash(c: str) -> Column:
-    """60 bits of an MD5: the same on any engine."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(c).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("bigint")
+def fixed_hash(*parts: Column) -> Column:
+    """60 bits of an MD5 of texts put together, null as the empty one: the same on any engine."""
+    whole = F.concat(*[F.coalesce(c, F.lit("")) for c in parts])
+    return F.conv(F.substring(F.md5(whole), 1, 15), 16, 10).cast("bigint")
+
+
+def order_of(id_col: str, text_col: str) -> Column:
+    """A document's place in the order in which its source is taken: rows of one id, or of none, have their texts to tell them apart."""
+    return fixed_hash(F.col(id_col).cast("string"), F.lit(" "), F.col(text_col))
 
 
 def targets(sizes: DataFrame, source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: float = MOST_TURNS) -> DataFrame:
@@ -80,8 +86,8 @@ def rules(rows: DataFrame, total: int, weights: tuple[int, ...] = WEIGHTS, most:
     return stored(out, "rules")
 
 
-def _sizes(docs: DataFrame, size: Column, id_col: str, source_col: str) -> DataFrame:
-    return docs.select(F.col(id_col), F.col(source_col).alias("src"), _source_key(source_col).alias("source_key"), size.alias("size"), fixed_hash(id_col).alias("h"))
+def _sizes(docs: DataFrame, size: Column, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col), F.col(source_col).alias("src"), _source_key(source_col).alias("source_key"), size.alias("size"), order_of(id_col, text_col).alias("h"))
 
 
 def _copies() -> Column:
@@ -91,14 +97,17 @@ def _copies() -> Column:
 def mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TURNS) -> DataFrame:
     """One row a document: its id, ``size``, ``source_size``, ``target``, ``taken = copies * size`` and ``copies``.
 
-    A document's order is a hash of its id alone, so reruns agree and rows repeated with one id go together.
+    A document's order is a hash of its id and text, so reruns agree; only rows with both alike go together.
     Of the two whole-document sums next to the rest of a budget the nearer is taken, at a tie the smaller.
     A null source is a source of its own, after all others; empty and null texts have size 0; an empty table
     gives no rows. Other columns are not read.
     """
-    rows = stored(_sizes(docs, word_count(F.col(text_col)) if size is None else size, id_col, source_col), "sizes")
-    total = rows.count()
-    out = join_groups(rows.drop("src"), rules(rows, total, weights, most), ["source_key"], "docs", total)
+    with tables(docs.sparkSession) as keep:
+        rows = stored(_sizes(docs, word_count(F.col(text_col)) if size is None else size, id_col, source_col, text_col), "sizes")
+        total = rows.count()
+        found = rules(rows, total, weights, most)
+        keep(rows, found)
+    out = join_groups(rows.drop("src"), found, ["source_key"], "docs", total)
     return out.withColumn("copies", _copies()).select(id_col, "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
@@ -107,11 +116,14 @@ def mixed(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", s
 
     Texts do not move: the rules of up to ``MAX_SENT`` sources go to them.
     """
-    rows = stored(_sizes(docs, word_count(F.col(text_col)) if size is None else size, id_col, source_col), "sizes")
-    total = rows.count()
-    found = rules(rows, total, weights, most).select("source_key", "docs", "turns", "threshold")
+    with tables(docs.sparkSession) as keep:
+        rows = stored(_sizes(docs, word_count(F.col(text_col)) if size is None else size, id_col, source_col, text_col), "sizes")
+        total = rows.count()
+        found = rules(rows, total, weights, most)
+        keep(found)
+    found = found.select("source_key", "docs", "turns", "threshold")
     own = {"source_key": P + "source_key", "docs": P + "docs", "turns": P + "turns", "threshold": P + "threshold"}
-    named = docs.withColumns({P + "source_key": _source_key(source_col), P + "h": fixed_hash(id_col)})
+    named = docs.withColumns({P + "source_key": _source_key(source_col), P + "h": order_of(id_col, text_col)})
     found = found.withColumnsRenamed(own)
     if found.count() <= MAX_SENT:
         out = named.join(F.broadcast(found), P + "source_key")
@@ -132,6 +144,9 @@ def _thresholds(rows: DataFrame, budgets: DataFrame, total: int) -> DataFrame:
     for bits in range(HASH_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
         inside = join_groups(rows, state, ["source_key"], "docs", total)
         inside = inside.where((F.col("h") >= F.col("low")) & (F.col("h") - F.col("low") < F.lit(1 << (bits + LEVEL_BITS))))
+        if bits == HASH_BITS - 2 * LEVEL_BITS:  # a small share of the rows: all further levels read only those
+            rows = stored(inside.select("source_key", "h", "size"), "inside")
+            inside = join_groups(rows, state, ["source_key"], "docs", total)
         buckets = inside.groupBy("source_key", "rest", "docs", "low", "below", "last", F.shiftright("h", bits).alias("bucket")).agg(
             F.sum("size").alias("tokens"), F.min("h").alias("least"), F.max("h").alias("top"))
         run = buckets.withColumns({
