@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 from heapq import heapify, heappop, heappush
-from itertools import repeat
+from itertools import islice, repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +21,8 @@ from .common import bounded_batches, worker_cache
 #: Pieces remembered by one worker; longer ones than REMEMBER characters never are.
 CACHE = 400_000
 REMEMBER = 48
+#: Characters of a text whose pieces are listed together.
+AT_ONCE = 1 << 20
 #: Fixed value: the pattern by which this family of vocabularies splits text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -52,7 +54,7 @@ class Counter:
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.find = regex.compile(SPLIT).findall
+        self.split = regex.compile(SPLIT)
         self.known: dict[str, int] = {}
 
     def piece(self, text: str) -> int:
@@ -84,8 +86,15 @@ class Counter:
         return n - merged
 
     def _plain(self, text: str) -> int:
+        if len(text) <= AT_ONCE:
+            return self._pieces(self.split.findall(text))
+        total, found = 0, self.split.finditer(text)  # of a long text never all pieces at once
+        while pieces := [m[0] for m in islice(found, AT_ONCE // 8)]:
+            total += self._pieces(pieces)
+        return total
+
+    def _pieces(self, pieces: list[str]) -> int:
         known = self.known
-        pieces = self.find(text)
         total = 0
         for count in map(known.get, pieces, repeat(0)):
             total += count
