@@ -1,7 +1,11 @@
 import random
+import sys
+from pathlib import Path
 
 import pytest
 
+sys.path.insert(0, str(Path(__file__).parent))
+
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -15,6 +19,8 @@ def odd_texts():
     for b in base:
         texts += [b, b, f"{line}\n{b}", " ".join(w if r.random() > 0.02 else "zz" for w in b.split())]
     texts.append(" ".join(r.choices(words, k=9000)))
+    texts.append(" ".join(r.choices(words, k=240_000)) + "\n" + line)  # over 1 MiB
+    texts.append("".join(r.choices("abc", k=1_100_000)))  # over 1 MiB without a space
     return texts
 
 

@@ -1,22 +1,15 @@
 """Operators over documents against plain versions, with nulls, ties, repeated rows and empty tables."""
 
-import re
-import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import plain
 import pytest
+from pyspark.sql import functions as F
 
 from kinetrace.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, token_count
 from kinetrace.llm.queries import tokenizer_path
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def last(i):
-    return (i is None, i)
-
 
 def test_exact_dedup(docs, rows, empty):
     got = Counter(map(tuple, exact_dedup.exact_dedup(docs).collect()))
@@ -30,54 +23,52 @@ def test_bloom_filter_misses_no_repeat(spark):
     h = r.integers(-(1 << 62), 1 << 62, 20000)
     h = np.concatenate((h, h[:500], h[:3]))
     df = spark.createDataFrame([(int(x),) for x in h], "h bigint").repartition(5)
-    out = exact_dedup.possibly_repeated(df, "h", len(h)).collect()
+    out = exact_dedup.possibly_repeated(df, "h", exact_dedup.filter_size(len(h))).collect()
     times = Counter(h.tolist())
     assert len(out) == len(h)
     assert all(x["__kt_maybe"] for x in out if times[x.h] > 1)
     assert sum(x["__kt_maybe"] for x in out if times[x.h] == 1) < 0.02 * len(h)
 
 
-def test_line_dedup(docs, rows, empty):
-    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOWER)
-    owner = {}
-    for i, t, *_ in rows:
-        for x in (t or "").split("\n"):
-            if len(key(x)) >= 10:
-                owner[key(x)] = min(owner.get(key(x), i), i, key=last)
-    want = Counter()
-    for i, t, *_ in rows:
-        lines = (t or "").split("\n")
-        kept = [x for x in lines if owner.get(key(x), i) == i]
-        want[i, len(lines), len(lines) - len(kept), "\n".join(kept)] += 1
+def test_exact_dedup_in_slices_of_the_filter(spark, docs, rows, monkeypatch):
+    """A filter of many small segments, tested slice by slice from a table kept apart by slice."""
+    monkeypatch.setattr(exact_dedup, "A_SLICE", 3)
+    monkeypatch.setattr(exact_dedup, "filter_size", lambda n: 10)
+    got = Counter(map(tuple, exact_dedup.exact_dedup(docs).collect()))
+    want = exact_dedup.brute_force([(r[0], r[1]) for r in rows]).astype(object)
+    assert got == Counter(tuple(None if x != x else x for x in r) for r in want.itertuples(index=False))
+
+
+@pytest.mark.parametrize("sent", [line_dedup.MAX_SENT, 0])
+def test_line_dedup(docs, rows, empty, monkeypatch, sent):
+    from kinetrace.llm import common
+
+    monkeypatch.setattr(line_dedup, "MAX_SENT", sent)
+    want = Counter((r[0], n, n - k, t) for r, (n, k, t) in zip(rows, plain.kept_lines(rows)))
+    before = len(common._made)
     out = line_dedup.dedup_lines(docs)
+    assert len(common._made) <= before + 4  # of each batch its dropped lines, and no run
     got = Counter((r.doc_id, r["__kt_n_lines"], r["__kt_n_dropped"], r["__kt_kept"]) for r in out.collect())
     assert got == want
     assert set(docs.columns) < set(out.columns)
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
-def components(rows):
-    sets, links = {}, defaultdict(set)
-    for i, t, *_ in rows:
-        w = WORD.findall((t or "").translate(LOWER))
-        sets.setdefault(i, []).append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
-    ids = [i for i in sets if i is not None]
-    for a in ids:
-        for b in ids:
-            if any(x and y and 100 * len(x & y) >= 75 * len(x | y) for x in sets[a] for y in sets[b]):
-                links[a].add(b)
-    label = {}
-    for i in sorted(ids):
-        todo = [i]
-        while todo:
-            if (x := todo.pop()) not in label:
-                label[x] = i
-                todo += links[x]
-    return sets, label
+def test_line_dedup_leaves_nothing_behind_by_an_error(spark, docs, monkeypatch):
+    from kinetrace.llm import common
+
+    def fails(*_):
+        raise RuntimeError("no more")
+
+    monkeypatch.setattr(line_dedup, "join_groups", fails)
+    before, names = list(common._made), {t.name for t in spark.catalog.listTables()}
+    with pytest.raises(RuntimeError, match="no more"):
+        line_dedup.dedup_lines(docs)
+    assert common._made == before and {t.name for t in spark.catalog.listTables()} == names
 
 
 def test_near_dedup(docs, rows, empty):
-    sets, label = components(rows)
+    sets, label = plain.components(rows)
     got = near_dedup.near_dedup(docs).collect()
     assert len(got) == len(rows)
     for r in got:
@@ -101,7 +92,7 @@ def test_near_dedup_of_large_groups(spark):
     texts += [" ".join([*base[k:], *r.choice(words, k).tolist()]) for k in range(0, 60, 4)]
     texts += [f"shared words that open many different texts here {' '.join(r.choice(words, 12))}" for _ in range(200)]
     rows = [(i, t) for i, t in enumerate(texts)]
-    _, label = components(rows)
+    _, label = plain.components(rows)
     got = {x.doc_id: x.component_id for x in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
     assert got == label
 
@@ -120,37 +111,15 @@ def test_near_dedup_of_ids_with_two_texts(spark):
     assert [x for x in got if x.component_id != x.doc_id // 2 * 2] == []
 
 
-def test_mix(docs, rows, empty, spark):
-    sizes = defaultdict(int)
-    for i, t, _, s, _ in rows:
-        sizes[s] += len(WORD.findall(t or ""))
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
-    target, open_, rest = {}, set(order), float(sum(sizes.values()))
-    while open_:
-        level = rest / sum(weight[s] for s in open_)
-        above = {s for s in open_ if weight[s] * level > 3 * sizes[s]}
-        if not above:
-            target |= {s: weight[s] * level for s in open_}
-            break
-        for s in above:
-            target[s] = 3.0 * sizes[s]
-            rest -= target[s]
-        open_ -= above
+def test_mix(docs, rows, empty):
+    sizes, target = plain.targets(rows)
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows)
-    by_id = {r[0]: r[3] for r in rows if r[0] is not None}
-    taken, largest = defaultdict(int), defaultdict(int)
-    for g in got:
-        s = by_id.get(g.doc_id)
-        assert g.source_size == sizes[s] and abs(g.target - target[s]) < 1e-6
-        assert 0 <= g.taken <= 3 * g["size"] and g.taken == g.copies * g["size"]
-        taken[s] += g.taken
-        largest[s] = max(largest[s], 2 * g["size"])  # two rows have one id, and go together
-    assert all(abs(taken[s] - target[s]) <= largest[s] for s in order)
+    want = Counter((r[0], plain.size(r[1]), sizes[r[3]], round(target[r[3]], 6), n * plain.size(r[1]), n) for r, n in zip(rows, plain.copies(rows)))
+    assert Counter((g.doc_id, g["size"], g.source_size, round(g.target, 6), g.taken, g.copies) for g in got) == want
     assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(docs.repartition(7)).collect()))
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
-    copies = Counter({k: 0 for k in ()})
+    copies = Counter()
     for g in got:
         copies[g.doc_id] += g.copies
     again = mixing.mixed(docs)
@@ -158,31 +127,22 @@ def test_mix(docs, rows, empty, spark):
     assert Counter(r.doc_id for r in again.collect()) == +copies
 
 
+def test_mix_of_rows_without_ids_or_with_one(spark):
+    """Rows of a source that share an id, or have none, are taken one by one and not all together."""
+    r = np.random.default_rng(8)
+    rows = [(None if k % 2 else 7, " ".join(f"w{x}" for x in r.integers(0, 1000, 10)), None, "ab"[k % 3 > 0], None) for k in range(600)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")).groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(got) == 2 and all(abs(g.taken - g.target) <= 5 for g in got)
+
+
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
     path = tokenizer_path("word_bpe_49k.json")
-    library = Tokenizer.from_file(path)
-    want = Counter()
-    total = 0
-    for i, t, *_ in rows:
-        ids = library.encode(t or "", add_special_tokens=False).ids + [1]
-        total += len(ids)
-        for k in range(0, len(ids), 4096):
-            part = np.array(ids[k : k + 4096], "<u4")
-            want[i, k // 4096, k, len(part), zlib.crc32(part.tobytes())] += 1
+    want, total = plain.pieces(rows, Tokenizer.from_file(path))
     out = packing.pack_documents(docs, path).collect()
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == want
-    bins = defaultdict(list)
-    for r in out:
-        bins[r.sequence_id].append((r.offset, r.length))
-    for b in bins.values():
-        at = 0
-        for offset, length in sorted(b):
-            assert offset == at
-            at += length
-        assert at <= 4096
-    assert len(bins) <= -(-total // 4096) + 2
+    plain.check_bins(out, total)
     assert packing.pack_documents(empty, path).count() == 0
 
 
