@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tables
 
 
 def _forest(batches):
@@ -39,19 +39,21 @@ def components(links: DataFrame) -> DataFrame:
     links' ends; links within one vertex go. Links at least halve, and stars, which are the usual case, end in
     two rounds. Links are never gathered in one place.
     """
-    edges = links.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    edges = stored(edges.mapInArrow(_forest, "a bigint, b bigint").distinct(), "links")
-    labels = None
-    while edges.take(1):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p"))
-        up = hook.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        hook = stored(hook.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p")), "hooks")
-        if labels is None:
-            labels = hook.select("v", F.col("p").alias("label"))
-        else:
-            labels = labels.join(hook.select(F.col("v").alias("label"), "p"), "label", "left").select("v", F.coalesce("p", "label").alias("label"))
-        labels = stored(labels, "labels")
-        edges = edges.join(hook.withColumnsRenamed({"v": "a", "p": "pa"}), "a").join(hook.withColumnsRenamed({"v": "b", "p": "pb"}), "b").where(F.col("pa") != F.col("pb"))
-        edges = stored(edges.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).mapInArrow(_forest, "a bigint, b bigint").distinct(), "links")
+    with tables(links.sparkSession) as keep:
+        edges = links.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        edges = stored(edges.mapInArrow(_forest, "a bigint, b bigint").distinct(), "links")
+        labels = None
+        while edges.take(1):
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            hook = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p"))
+            up = hook.select(F.col("v").alias("p"), F.col("p").alias("pp"))
+            hook = stored(hook.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p")), "hooks")
+            if labels is None:
+                labels = hook.select("v", F.col("p").alias("label"))
+            else:
+                labels = labels.join(hook.select(F.col("v").alias("label"), "p"), "label", "left").select("v", F.coalesce("p", "label").alias("label"))
+            labels = stored(labels, "labels")
+            edges = edges.join(hook.withColumnsRenamed({"v": "a", "p": "pa"}), "a").join(hook.withColumnsRenamed({"v": "b", "p": "pb"}), "b").where(F.col("pa") != F.col("pb"))
+            edges = stored(edges.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).mapInArrow(_forest, "a bigint, b bigint").distinct(), "links")
+        keep(edges if labels is None else labels)
     return edges.select(F.col("a").alias("v"), F.col("b").alias("label")) if labels is None else labels

@@ -11,13 +11,14 @@ every further level of one tree with probability 0.88 at least.
 Equal sets are one class from the start. What is large after one level is mostly a group of near copies, of
 which a small part of the links is enough. So the first pass cuts large nodes into random blocks and
 compares within those; its confirmed links give first components, and only nodes whose sets lie in two or more
-of them branch on. What still is large after ``DEPTH`` levels is compared block by block, each set outside
-the node's largest component against all.
-
-Signatures only choose pairs: every pair whose tokens agree in at least ``LOWEST`` of the coordinates is
-confirmed on the full sets of its whole texts. Within a node, pairs that nearly surely link are confirmed along
-a spanning forest; if one of those fails, the second pass finds its sets in different components and confirms
-all pairs between them.
+of them branch on. They do so until they are small. Only two kinds of large nodes are compared exhaustively, block
+by block, each set outside the node's largest component against all: those that tokens do not take apart, if at
+most ``FEW`` sets are outside, and what is left at ``DEPTH`` levels.
+
+Signatures only choose pairs: every pair whose tokens agree in at least ``LOWEST`` (or ``FINE_LOWEST``) of the
+coordinates is confirmed on the full sets of its whole texts. Within a node, pairs that nearly surely link are
+confirmed along a spanning forest; if one of those fails, the second pass finds its sets in different components
+and confirms all pairs between them.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import bounded_batches, join_groups, stored, text_of
+from .common import bounded_batches, join_groups, stored, tables, text_of
 from .components import components
 
 SHINGLE = 5
@@ -36,14 +37,18 @@ THRESHOLD = 75
 COORDINATES = 64
 TREES = 10
 BRANCH = 2
-DEPTH = 4
+DEPTH = 24
 LEAF = 64
 BLOCK = 256
+#: Sets outside the largest component of a large node that are compared with all of it, at most, before ``DEPTH``.
+FEW = 4096
+#: Shingles of a pair above which it is confirmed alone, and not with the other pairs of the place where it was found.
+LONG = 50_000
 #: Ids broadcast to the scan of the texts, at most (some 40 bytes each); more meet them in a shuffle.
 MAX_SENT = 500_000
-#: Shares of agreeing coordinates: below LOWEST a pair of similarity 0.75 falls once in a million times.
+#: Shares of agreeing coordinates: below LOWEST a pair of similarity 0.75 falls with probability 5e-6.
 LOWEST, SURE = 0.5, 0.86
-#: The same for the longer signatures of what is compared after the first tree.
+#: The same for the longer signatures of what is compared after the first tree: 7e-5.
 FINE, FINE_LOWEST, FINE_SURE = 512, 0.675, 0.81
 
 _U = np.uint64
@@ -209,8 +214,11 @@ _PLACE = ["node", "block", "part"]
 
 
 def _pairs(table: pa.Table, v: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-    """Rows i and j as pairs, the smaller id first, with the place where they were found."""
-    place = [table.column(c).combine_chunks().take(pa.array(i)) for c in _PLACE]
+    """Rows i and j as pairs, the smaller id first, with the place where they were found; long ones have a place of their own."""
+    n = table.column("n").to_numpy()
+    alone = n[i] + n[j] > LONG
+    place = [np.where(alone, own, table.column(c).to_numpy()[i]) for c, own in zip(_PLACE, (v[i], v[j], np.full(len(i), -1)))]
+    place = list(map(pa.array, place))
     low = v[i] <= v[j]
     i, j = np.where(low, i, j), np.where(low, j, i)
     c = table.column("c").combine_chunks()
@@ -475,29 +483,33 @@ class _Join:
             if not big.take(1):
                 break
             pairs = pairs.unionByName(self.in_blocks(self.finely_signed(big.where(F.col("size") <= LEAF))).mapInArrow(_compare(False), _PAIRS))
-            # a child with most of its parent's sets is a dense group, which more levels would not take apart
-            dense = (F.col("size") > LEAF) & ((2 * F.col("size") > F.col("parent")) if level < DEPTH - 1 else F.lit(True))
-            pairs = pairs.unionByName(self.remaining(big.where(dense).drop("parent")))
+            large = big.where(F.col("size") > LEAF)
+            each = large.groupBy("node", "label").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("parent").alias("parent"))
+            nodes = each.groupBy("node").agg(F.max(F.struct("n", "label")).alias("m"), F.first("size").alias("size"), F.first("parent").alias("parent"))
+            nodes = nodes.select("node", "size", F.col("m.label").alias("main"), (F.col("size") - F.col("m.n")).alias("outside"), "parent")
+            # a child with most of its parent's sets is a dense group, which more levels take apart slowly
+            dense = (2 * F.col("size") > F.col("parent")) & (F.col("outside") <= FEW) if level < DEPTH - 1 else F.lit(True)
+            nodes = stored(nodes.select("node", "size", "main", "outside", dense.alias("dense")), "large")
+            rows = join_groups(large.drop("size", "parent"), nodes, ["node"], "size", large.count())
+            pairs = pairs.unionByName(self.remaining(rows.where("dense")))
             if level < DEPTH - 1:
-                big = self.branched(big.where((F.col("size") > LEAF) & ~dense).drop("parent"))
+                big = self.branched(rows.where(~F.col("dense")).drop("dense", "main", "outside"))
         pairs = pairs.dropDuplicates(["ca", "cb"])  # before the join: a pair may be in many nodes
         more = self.confirmed(pairs.join(tested.select("ca", "cb"), ["ca", "cb"], "left_anti"), texts)
         return tested.where("linked").unionByName(more.where("linked")).select("a", "b")
 
-    def remaining(self, big: DataFrame) -> DataFrame:
-        """Nodes that stay large: every set outside the largest component against all others, in blocks."""
-        each = big.groupBy("node", "label").agg(F.count("*").alias("n"), F.first("size").alias("size"))
-        main = each.groupBy("node").agg(F.max(F.struct("n", "label")).alias("m"), F.first("size").alias("size"))
-        main = main.select("node", "size", F.col("m.label").alias("main"), F.greatest(F.lit(1), F.ceil((F.col("size") - F.col("m.n")) / BLOCK)).cast("bigint").alias("parts"))
-        rows = stored(self.finely_signed(join_groups(big.drop("size", "block"), main, ["node"], "size", self.total * TREES * BRANCH**DEPTH)), "remaining")
+    def remaining(self, rows: DataFrame) -> DataFrame:
+        """Pairs of nodes that stay large: every set outside the ``main`` component against all others, in blocks."""
+        parts, blocks = (F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("bigint") for c in ("outside", "size"))
+        rows = stored(self.finely_signed(rows.drop("block", "dense")), "remaining")
         rows = rows.join(rows.groupBy("c").agg(F.collect_set("node").alias("nodes")), "c")  # at most one a tree and branch
-        blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("bigint")
         few = rows.where(F.col("label") != F.col("main"))
-        few = few.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")))  # the few are dealt into parts, each meets every block
+        few = few.withColumn("part", F.pmod(F.xxhash64("c"), parts))  # the few are dealt into parts, each meets every block
         left = few.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))).withColumn("few", F.lit(True))
         parts = few.select("node", "part").distinct()
         right = rows.withColumn("block", F.pmod(F.xxhash64("c", F.lit(1)), blocks)).join(parts, "node").withColumn("few", F.lit(False))
-        both = left.select("node", "block", "part", "v", "c", "label", "few", "sig", "n", "shared", "nodes").unionByName(right.select("node", "block", "part", "v", "c", "label", "few", "sig", "n", "shared", "nodes"))
+        names = ["node", "block", "part", "v", "c", "label", "few", "sig", "n", "shared", "nodes"]
+        both = left.select(names).unionByName(right.select(names))
         return both.repartition("node", "block", "part").sortWithinPartitions("node", "block", "part", "v").mapInArrow(_against, _PAIRS)
 
 
@@ -514,12 +526,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError(f"the signatures' cuts are made for a similarity of {THRESHOLD} or more in a hundred")
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
     bounded_batches(docs.sparkSession)
-    signed = stored(texts.mapInArrow(_sign(size), "id bigint, n bigint, c binary, sig binary"), "signed")
-    full = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
-    grouped = full.groupBy("c").agg(F.min(F.struct("id", "sig", "n")).alias("m"), F.count("*").alias("size"))
-    classes = stored(grouped.select("c", F.col("m.id").alias("v"), F.col("m.sig").alias("sig"), F.col("m.n").alias("n"), "size"), "classes")
-    labels = components(_Join(texts, classes, threshold, size).links())
-    named = classes.select("c", "v", "size").join(labels, "v", "left").select("c", F.coalesce("label", "v").alias("component_id"), "size")
+    with tables(docs.sparkSession) as keep:
+        signed = stored(texts.mapInArrow(_sign(size), "id bigint, n bigint, c binary, sig binary"), "signed")
+        full = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
+        grouped = full.groupBy("c").agg(F.min(F.struct("id", "sig", "n")).alias("m"), F.count("*").alias("size"))
+        classes = stored(grouped.select("c", F.col("m.id").alias("v"), F.col("m.sig").alias("sig"), F.col("m.n").alias("n"), "size"), "classes")
+        labels = components(_Join(texts, classes, threshold, size).links())
+        named = classes.select("c", "v", "size").join(labels, "v", "left").select("c", F.coalesce("label", "v").alias("component_id"), "size")
+        named = stored(named, "named")
+        keep(signed, named)
     rows = join_groups(full.select("id", "n", "c"), named, ["c"], "size", signed.count()).select("id", "n", "component_id")
     alone = signed.where((F.col("n") == 0) | F.col("id").isNull()).select("id", "n", F.col("id").alias("component_id"))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))

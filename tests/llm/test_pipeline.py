@@ -80,15 +80,22 @@ def test_stages_one_by_one(spark, docs, folder, monkeypatch):
     plain.check_bins(placed, total, packing.CAPACITY)
 
 
-def test_run_is_its_stages_and_leaves_one_table(spark, folder):
-    before = len(common._made)
-    got = p.run(spark, folder)
-    assert len(common._made) == before + 1
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    for _, stage in p.STAGES:
-        docs = common.stored(stage(spark, docs, folder), "stage")
-    key = lambda df: Counter(map(tuple, df.select("doc_id", "piece", "start", "length", "ids_crc32").collect()))
-    assert key(got) == key(docs) and got.count()
+def test_run_is_its_stages_and_leaves_one_table(spark, folder, monkeypatch):
+    """Every stage gets what the one before returned; all tables but the result's go."""
+    seen = []
+
+    def stage(name):
+        def run(spark, docs, sf_dir):
+            seen.append((name, docs.count()))
+            common.stored(docs, "on-the-way")
+            return docs.where("doc_id is null or doc_id > 0") if name == "a" else docs.limit(3)
+
+        return run
+
+    monkeypatch.setattr(p, "STAGES", [(n, stage(n)) for n in "ab"])
+    before, n = len(common._made), spark.read.parquet(f"{folder}/documents.parquet").count()
+    assert p.run(spark, folder).count() == 3 and len(common._made) == before + 1
+    assert seen == [("a", n), ("b", n - 1)]
 
 
 def test_empty_tables(spark, empty, folder):

@@ -97,6 +97,63 @@ def test_near_dedup_of_large_groups(spark):
     assert got == label
 
 
+def links_by_band(rows):
+    """{band: pairs} of all pairs of similarity 0.75 or more, found through shared shingles."""
+    sets = {}
+    for i, t, *_ in rows:
+        w = plain.WORD.findall((t or "").translate(plain.LOWER))
+        sets[i] = {hash(tuple(w[k : k + 5])) for k in range(max(1, len(w) - 4))} if w else set()
+    by, common = defaultdict(list), Counter()
+    for i, x in sets.items():
+        for h in x:
+            by[h].append(i)
+    for ids in by.values():
+        common.update((a, b) for k, a in enumerate(ids) for b in ids[k + 1 :])
+    out = defaultdict(list)
+    for (a, b), n in common.items():
+        if 100 * n >= 75 * (union := len(sets[a]) + len(sets[b]) - n):
+            out[min(n * 20 // union, 19) / 20].append((a, b))
+    return out
+
+
+def test_near_dedup_finds_links_of_every_band(spark):
+    """Of pairs that only their own link joins, and of all links among documents, by similarity."""
+    r = np.random.default_rng(14)
+    new = lambda n: [f"w{x}" for x in r.integers(0, 10**9, n)]
+    rows = []
+    for k in range(400):  # one edited passage in the middle: similarities from 0.75 on
+        x = new(120)
+        m = int(r.integers(1, 14))
+        rows += [(2 * k, " ".join(x)), (2 * k + 1, " ".join([*x[:60], *new(m), *x[60 + m :]]))]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    for own in (rows, [tuple(x) for x in docs.collect()]):
+        got = {x.doc_id: x.component_id for x in near_dedup.near_dedup(spark.createDataFrame(own, "doc_id bigint, text string").repartition(4)).collect()}
+        bands = links_by_band(own)
+        share = {b: sum(got[x] == got[y] for x, y in p) / len(p) for b, p in bands.items()}
+        assert len(bands) >= 3 and min(share.values()) >= 0.99, share
+
+
+@pytest.mark.parametrize("few", [40])
+def test_near_dedup_of_dense_nodes(spark, monkeypatch, few):
+    """Texts that share most of their words without linking, with pairs among them that do."""
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    r = np.random.default_rng(15)
+    new = lambda n: [f"w{x}" for x in r.integers(0, 10**9, n)]
+    base, texts = new(100), []
+    pool = [new(40) for _ in range(14)]
+    for k in range(260):  # a common part, and others in an order of their own that many share in part
+        a, b = r.choice(len(pool), 2, False)
+        x = [*base, *pool[a], *pool[b][:20]]
+        texts.append(" ".join(x))
+        if k % 4 == 0:
+            x[50] = f"e{k}"
+            texts.append(" ".join(x))
+    rows = list(enumerate(texts))
+    _, label = plain.components(rows)
+    got = {x.doc_id: x.component_id for x in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert got == label and len(set(label.values())) > 1
+
+
 def test_near_dedup_of_ids_with_two_texts(spark):
     """A pair that links, beside a less similar one of the same two ids with more shingles of its own."""
     r = np.random.default_rng(12)
