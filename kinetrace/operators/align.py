@@ -4,8 +4,9 @@ A grid point takes, of every stream, the first reading that is not earlier. On a
 join: a reading whose predecessor is at ``p`` answers exactly the grid points in ``(p, t]``, so each reading is
 exploded into those. Rows that answer none vanish, and the only shuffle is the one by stream.
 
-A stream may hold most of all rows. Its predecessors are therefore found in slices of time: within a slice by a
-window, across slices by the slices' ends, of which there are few.
+A stream may hold most of all rows. Its predecessors are then found in slices of time: within a slice by a
+window, across slices by the slices' ends, of which there are few. Unless a width is given, the fullest stream's
+number of rows chooses it, where the planner expects an input too large for one task.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Bytes that the planner expects of an input up to which no stream is cut, and rows of a slice beyond that, about.
+ONE_TASK, SLICE_ROWS = 1 << 30, 1 << 22
+
 
 def common_range(readings: DataFrame, episode: str, stream: str, time: str) -> DataFrame:
     """(episode, start, end): from the latest first to the earliest last reading of the streams that have any."""
@@ -47,11 +51,11 @@ def time_grid(gridded: DataFrame, episode: str) -> DataFrame:
     return points.withColumn("t", F.col("start") + F.col("k") * F.col("step")).where(F.col("t") <= F.col("end")).select(episode, "k", "t")
 
 
-def previous(rows: DataFrame, keys: list[str], time: str, order: list[str], slice_width: float | None = None) -> DataFrame:
+def previous(rows: DataFrame, keys: list[str], time: str, order: list[str], width: float | None = None) -> DataFrame:
     """``rows`` with ``previous``: the time of the row before it, by ``time`` and then ``order``, among equal ``keys``."""
-    if slice_width is None:
+    if width is None:
         return rows.withColumn("previous", F.lag(time).over(W.partitionBy(*keys).orderBy(time, *order)))
-    part = F.floor(F.col(time) / F.lit(slice_width)).alias("slice")
+    part = F.floor(F.col(time) / F.lit(width)).alias("slice")
     ends = rows.groupBy(*keys, part).agg(F.max(time).alias("slice_end"))
     ends = ends.withColumn("before", F.lag("slice_end").over(W.partitionBy(*keys).orderBy("slice"))).drop("slice_end")
     own = rows.withColumn("slice", part)
@@ -59,14 +63,26 @@ def previous(rows: DataFrame, keys: list[str], time: str, order: list[str], slic
     return own.join(ends, [*keys, "slice"], "left").withColumn("previous", F.coalesce("previous", "before")).drop("before", "slice")
 
 
-def forward_asof(readings: DataFrame, gridded: DataFrame, episode: str, stream: str, time: str, order: list[str] | None = None, slice_width: float | None = None) -> DataFrame:
+def slice_width(readings: DataFrame, keys: list[str], time: str) -> float | None:
+    """A width of time by which no slice of a stream has far more than ``SLICE_ROWS`` rows; None where streams may stay whole."""
+    expected = readings._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(expected)) <= ONE_TASK:
+        return None
+    per = readings.groupBy(*keys).agg(F.count("*").alias("n"), (F.max(time) - F.min(time)).cast("double").alias("span"))
+    n, span = per.agg(F.max("n"), F.max_by("span", "n")).first()
+    return span / -(-n // SLICE_ROWS) if n and n > SLICE_ROWS and span else None
+
+
+def forward_asof(readings: DataFrame, gridded: DataFrame, episode: str, stream: str, time: str, order: list[str] | None = None, width: float | str | None = "auto") -> DataFrame:
     """Readings with ``k`` and ``grid_t``: each grid point with the first reading of each stream not before it.
 
+    ``width`` cuts streams into slices of time (None: not at all; by default ``slice_width`` says).
     Of equal times the first in ``order`` answers. Readings without a time answer nothing. Works on integer
     and on double time; bounds on doubles are taken one wider and then tested exactly.
     """
     columns = readings.columns
-    rows = previous(readings.where(F.col(time).isNotNull()), [episode, stream], time, order or [], slice_width)
+    rows = readings.where(F.col(time).isNotNull())
+    rows = previous(rows, [episode, stream], time, order or [], slice_width(rows, [episode, stream], time) if width == "auto" else width)
     rows = rows.join(gridded.where(F.col("n") > 0), episode)
     t, p, start, step, last = F.col(time), F.col("previous"), F.col("start"), F.col("step"), F.col("n") - 1
     wide = 1 if dict(gridded.dtypes)["step"] == "double" else 0

@@ -3,29 +3,48 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import file_place
 
-# Episodes and tasks are metadata: one row a recording, not one a reading. Windows over all of them run in one task.
+#: Positions are dense integers, as places in a list are: so many of them are numbered by one task.
+SPAN = 1 << 16
+
+
+def running(rows: DataFrame, order: list[str], total: Column | None = None, span: int = SPAN) -> DataFrame:
+    """``rows`` with ``rows_before`` and, where ``total`` is given, ``total_before``: counts and sums of all rows before it.
+
+    The last of the integer columns ``order`` is cut into spans. Rows are numbered within a span; what lies
+    before a span follows from one row a span, the only thing that one task sees all of. Order is unique.
+    """
+    total = F.lit(0).cast("bigint") if total is None else total
+    cut = rows.withColumns({"span": F.floor(F.col(order[-1]) / span), "part": total})
+    key = [*order[:-1], "span"]
+    per = cut.groupBy(*key).agg(F.count("*").alias("n"), F.sum("part").alias("s"))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    every, own = W.orderBy(*key), W.partitionBy(*key).orderBy(order[-1])
+    per = per.select(*key, before("n", every).alias("rows_before"), before("s", every).alias("total_before"))
+    cut = cut.withColumns({"own_rows": F.row_number().over(own) - 1, "own_total": before("part", own)})
+    out = cut.join(per, key).withColumns({"rows_before": (F.col("rows_before") + F.col("own_rows")).cast("bigint"), "total_before": F.col("total_before") + F.col("own_total")})
+    return out.drop("span", "part", "own_rows", "own_total")
 
 
 def episode_remap(episodes: DataFrame, position: str, out: str = "episode_index") -> DataFrame:
     """Dense indices of the episodes that are left, in their order."""
-    return episodes.withColumn(out, (F.row_number().over(W.orderBy(position)) - 1).cast("bigint"))
+    return running(episodes, [position]).withColumnRenamed("rows_before", out).drop("total_before")
 
 
 def task_remap(used: DataFrame, task: str, out: str = "new_task_index") -> DataFrame:
     """Dense indices of the tasks in use, by their old index."""
-    return used.select(task).distinct().withColumn(out, (F.row_number().over(W.orderBy(task)) - 1).cast("bigint"))
+    return running(used.select(task).distinct(), [task]).withColumnRenamed("rows_before", out).drop("total_before")
 
 
 def global_index(lengths: DataFrame, order: str, length: str) -> DataFrame:
     """``dataset_from_index`` and ``dataset_to_index`` of each episode: where its frames lie among all."""
-    upto = F.sum(length).over(W.orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return lengths.withColumns({"dataset_from_index": (upto - F.col(length)).cast("bigint"), "dataset_to_index": upto.cast("bigint")})
+    at = running(lengths, [order], F.col(length)).drop("rows_before")
+    return at.withColumns({"dataset_from_index": F.col("total_before").cast("bigint"), "dataset_to_index": (F.col("total_before") + F.col(length)).cast("bigint")}).drop("total_before")
 
 
 def frame_columns(frames: DataFrame, episode: str, frame_index: str, fps: float) -> DataFrame:
@@ -38,7 +57,7 @@ def packed_files(sizes: DataFrame, order: str, size: str, limit: float) -> DataF
     episode would take it to ``limit``; an episode that is larger has a file of its own.
 
     Where a file closes depends on where the last one did, so this is a fold over the episodes in order: one
-    task streams over (order, size), one row an episode.
+    task streams over (order, size), one row of 16 bytes an episode; no other operator here has but one task.
     """
 
     def fold(batches):
@@ -64,8 +83,8 @@ def merged_tasks(tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
     Tasks are one a prompt, in the order in which prompts are first met; the first description stays.
     """
     first = tasks.groupBy("prompt").agg(F.min(F.struct("dataset_pos", "task_index", "description")).alias("f"))
-    order = W.orderBy("f.dataset_pos", "f.task_index")
-    merged = first.select((F.row_number().over(order) - 1).cast("bigint").alias("new_task_index"), "prompt", F.col("f.description").alias("description"))
+    first = running(first.select("prompt", "f.*"), ["dataset_pos", "task_index"])
+    merged = first.select(F.col("rows_before").alias("new_task_index"), "prompt", "description")
     mapping = tasks.join(merged.select("prompt", "new_task_index"), "prompt").select("dataset_pos", "task_index", "new_task_index")
     return merged, mapping
 
@@ -73,5 +92,4 @@ def merged_tasks(tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
 def merged_episodes(episodes: DataFrame, mapping: DataFrame) -> DataFrame:
     """Episodes (dataset_pos, episode_pos, success, task_index) of all datasets, numbered anew, tasks remapped."""
     e = episodes.join(mapping, ["dataset_pos", "task_index"])
-    new = (F.row_number().over(W.orderBy("dataset_pos", "episode_pos")) - 1).cast("string")
-    return e.select("dataset_pos", "episode_pos", new.alias("id"), "success", F.col("new_task_index").alias("task_index"))
+    return running(e, ["dataset_pos", "episode_pos"]).select("dataset_pos", "episode_pos", F.col("rows_before").cast("string").alias("id"), "success", F.col("new_task_index").alias("task_index"))

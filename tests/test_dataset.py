@@ -125,6 +125,34 @@ def test_smoothing(roots, spark):
     assert np.allclose(d.load_obs(0, cutoff=0)["arms/right/qpos"].toPandas().iloc[:, 1:], x)
 
 
+@pytest.mark.parametrize("cutoff", [0.5, 5.0, 100.0])
+def test_the_filter_is_its_recurrence(cutoff):
+    """Blocks of rows as matrix products against one row after another."""
+    from kinetrace.operators import smooth
+
+    b, a = smooth.design(smooth.normalised(cutoff))
+    x = np.random.default_rng(1).normal(0, 1, (1000, 3)).cumsum(0)
+    for n in (16, 97, 98, 99, 1000):
+        whole = np.concatenate((2 * x[0] - x[15:0:-1], x[:n], 2 * x[n - 1] - x[n - 2 : n - 17 : -1] if n > 16 else 2 * x[15] - x[14::-1]))
+        for _ in range(2):
+            y, z = np.empty_like(whole), None
+            lag = lambda k, v, i: v[i - k] if i >= k else v[0]  # noqa: E731, before the first row all is steady
+            for i in range(len(whole)):
+                y[i] = sum(b[k] * lag(k, whole, i) for k in range(5)) - sum(a[k] * (y[i - k] if i >= k else whole[0]) for k in range(1, 5))
+            whole = y[::-1]
+        assert np.allclose(smooth.zero_phase(x[:n], cutoff), whole[15:-15], rtol=1e-6, atol=1e-6)
+
+
+def test_smoothing_leaves_streams_with_nulls(spark):
+    from kinetrace.operators.smooth import smoothed, zero_phase
+
+    rows = [(s, i, None if s == 1 and i == 3 else [float(i), None if s == 2 and i == 4 else 1.0] if s < 3 or i else [1.0]) for s in range(4) for i in range(30)]
+    got = {(r.s, r.row_pos): r["values"] for r in smoothed(spark.createDataFrame(rows, "s int, row_pos bigint, values array<float>"), ["s"], 5.0).collect()}
+    assert np.allclose([got[0, i] for i in range(30)], zero_phase([[i, 1.0] for i in range(30)], 5.0))
+    assert got[1, 3] is None and got[1, 4] == [4.0, 1.0] and got[3, 0] == [1.0] and got[3, 1] == [1.0, 1.0]
+    assert all(np.isnan(got[2, i][1]) for i in range(30)) and np.isfinite(got[2, 7][0])
+
+
 @pytest.mark.parametrize("version", VERSIONS)
 @pytest.mark.parametrize("cameras", ["dir", "tar"])
 def test_writing_the_latest_layout(roots, spark, tmp_path, version, cameras):

@@ -79,6 +79,57 @@ def test_hot_stream_in_slices(spark, sf_dir):
     assert rows(["e", "p"], whole.select("event_id", "previous").collect()) == rows(["e", "p"], cut.select("event_id", "previous").collect())
 
 
+def test_slices_are_chosen_by_the_fullest_stream(spark, sf_dir, monkeypatch):
+    from kinetrace.operators import align
+
+    r = catalogue.readings(spark, sf_dir)
+    g = align.with_grid(align.common_range(r, "episode", "stream", "t"), catalogue.STEP)
+    assert align.slice_width(r, ["episode", "stream"], "t") is None
+    whole = align.forward_asof(r, g, "episode", "stream", "t", ["event_id"]).collect()
+    monkeypatch.setattr(align, "ONE_TASK", 0)
+    assert align.slice_width(r, ["episode", "stream"], "t") is None
+    monkeypatch.setattr(align, "SLICE_ROWS", 5)
+    assert align.slice_width(r, ["episode", "stream"], "t") > 0
+    assert Counter(align.forward_asof(r, g, "episode", "stream", "t", ["event_id"]).collect()) == Counter(whole)
+
+
+@pytest.mark.parametrize("keys", [[], ["g"], ["g", "h"]])
+@pytest.mark.parametrize("accuracy", [10_000, 50])
+def test_quantiles_by_rank_are_those_of_buffers(spark, monkeypatch, keys, accuracy):
+    """Groups too large for a buffer, with a hot one, ties, nulls and NaN; sketched brackets and whole ones."""
+    import numpy as np
+
+    from kinetrace.operators import stats
+
+    r = np.random.default_rng(1)
+    n = 24_000
+    x = np.where(r.random(n) < 0.3, 5.0, r.normal(0, 10, n)).round(2)
+    rows = [(int(g), int(h), None if i % 50 == 0 else float("nan") if i % 50 == 1 else float(v)) for i, (g, h, v) in enumerate(zip(r.random(n) < 0.05, r.integers(0, 3, n), x))]
+    df = spark.createDataFrame([*rows, (7, 7, None), (8, None, 1.0), (8, None, 2.0)], "g int, h int, v double").repartition(4)
+    want = stats.describe(df, "v", *keys).collect()
+    monkeypatch.setattr(stats, "HELD", 500)
+    monkeypatch.setattr(stats, "ACCURACY", accuracy)
+    got = stats.describe(df, "v", *keys).collect()
+    assert rows_(got) == rows_(want)
+
+
+def rows_(found):
+    return Counter(tuple(norm(v) for v in r) for r in found)
+
+
+def test_numbering_in_spans(spark):
+    """Positions numbered span by span, with gaps and negative ones, against one window over all."""
+    from kinetrace.operators import episodes
+
+    rows = [(d, p, (p * 7) % 5) for d in (2, 0) for p in [*range(-9, 40), 100, 101, 5000]]
+    df = spark.createDataFrame(rows, "d int, p bigint, n bigint").repartition(3)
+    got = {(r.d, r.p): (r.rows_before, r.total_before) for r in episodes.running(df, ["d", "p"], F.col("n"), span=8).collect()}
+    total = 0
+    for k, (d, p, n) in enumerate(sorted(rows)):
+        assert got[d, p] == (k, total)
+        total += n
+
+
 def test_live_alignment_equals_the_batch(spark, sf_dir, tmp_path):
     from kinetrace.streaming import live
 
