@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..operators import align, episodes, repair, smooth, stats
+from ..operators import align, episodes, frames, repair, smooth, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,6 +35,9 @@ def query(sql: str | None = None):
     return add
 
 
+_JOINTS = [*(f"joint{k}" for k in range(1, WIDTH)), "gripper"]
+
+
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -63,19 +66,17 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query("SELECT DISTINCT user_id AS episode, event_type AS stream, 'ep' || user_id || '/obs/' || event_type AS entity FROM events")
 def stream_catalog(spark, sf):
-    r = readings(spark, sf).select("episode", "stream").distinct()
-    return r.withColumn("entity", X.entity_path("episode", F.lit("obs"), "stream"))
+    return frames.stream_entities(readings(spark, sf), "episode", "stream", "obs")
 
 
-@query("SELECT event_id, epoch_us(ts) AS t, value FROM events WHERE event_type = 'click' AND user_id % 7 = 3")
+@query("SELECT event_id, epoch_us(ts) AS t, value FROM events WHERE event_type = 'click'")
 def load_obs_filter(spark, sf):
-    return readings(spark, sf).where((F.col("stream") == "click") & (F.col("episode") % 7 == 3)).select("event_id", "t", "value")
+    return frames.only(readings(spark, sf), "stream", "click").select("event_id", "t", "value")
 
 
-@query("SELECT vec_id, " + ", ".join(f"embedding[{i + 1}] AS {n}" for i, n in enumerate([*(f"joint{k}" for k in range(1, 8)), "gripper"])) + " FROM embeddings")
+@query("SELECT vec_id, " + ", ".join(f"embedding[{i + 1}] AS {n}" for i, n in enumerate(_JOINTS)) + " FROM embeddings")
 def joint_projection(spark, sf):
-    names = [*(f"joint{k}" for k in range(1, 8)), "gripper"]
-    return _t(spark, sf, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    return frames.named_joints(_t(spark, sf, "embeddings"), "embedding", _JOINTS, "vec_id")
 
 
 @query("SELECT event_id, CAST(epoch_us(ts) * 1000 AS DOUBLE) / 1e9 AS unix_time FROM events")
@@ -85,13 +86,12 @@ def unixtime(spark, sf):
 
 @query("SELECT event_type AS camera, count(*) AS frames FROM events WHERE event_type IN ('view', 'click') GROUP BY event_type")
 def camera_projection(spark, sf):
-    return readings(spark, sf).where(F.col("stream").isin("view", "click")).groupBy(F.col("stream").alias("camera")).agg(F.count("*").alias("frames"))
+    return frames.only(readings(spark, sf), "stream", "view", "click").groupBy(F.col("stream").alias("camera")).agg(F.count("*").alias("frames"))
 
 
 @query("SELECT lang AS dataset, count(DISTINCT source) AS formats, count(DISTINCT source) = 1 AS uniform FROM documents GROUP BY lang")
 def camera_format_check(spark, sf):
-    d = _t(spark, sf, "documents").groupBy(F.col("lang").alias("dataset")).agg(F.countDistinct("source").alias("formats"))
-    return d.withColumn("uniform", F.col("formats") == 1)
+    return frames.uniform_formats(_t(spark, sf, "documents").withColumnRenamed("lang", "dataset"), "source", "dataset")
 
 
 @query(r"""SELECT page_id, TRY_CAST(nullif(regexp_extract(url || '/' || (page_id * 1000003) || '.jpeg', '([0-9]+)\.[^./]*$', 1), '') AS BIGINT) AS t_ns FROM pages""")
@@ -103,18 +103,21 @@ def frame_timestamp_parse(spark, sf):
 
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations) WHERE i = 2")
 def frame_by_index(spark, sf):
-    w = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return _t(spark, sf, "conversations").withColumn("i", F.row_number().over(w) - 1).where("i = 2").select("conv_id", "turn", "role")
+    return frames.frame_at(_t(spark, sf, "conversations"), 2, ["conv_id"], ["turn", "role", "text"]).select("conv_id", "turn", "role")
 
 
 @query("SELECT conv_id, min(turn) AS first_turn, arg_min(role, turn) AS first_role FROM conversations GROUP BY conv_id")
 def first_frame(spark, sf):
-    return _t(spark, sf, "conversations").groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.min_by("role", "turn").alias("first_role"))
+    return frames.first_of(_t(spark, sf, "conversations"), ["conv_id"], "turn", first_role="role")
 
 
-@query("SELECT conv_id, count(*) AS num_frames, CAST(sum(strlen(text)) AS BIGINT) AS bytes, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, count(*) AS num_frames, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM conversations GROUP BY conv_id")
 def frame_sizes(spark, sf):
-    return _t(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("num_frames"), F.sum(F.octet_length("text")).cast("bigint").alias("bytes"), F.max("turn").alias("last_turn"))
+    return frames.frame_totals(_t(spark, sf, "conversations"), ["conv_id"], F.octet_length("text"))
+
+
+def _returned(spark, sf):
+    return _t(spark, sf, "lineitem").where(F.col("l_returnflag") == "R").select(F.col("l_orderkey").alias("o_orderkey"))
 
 
 # alignment
@@ -161,12 +164,12 @@ def sample_aligned_map(spark, sf):
     return m.select("episode", "k", "grid_t", F.array_join(F.array_sort(F.map_keys("values")), ",").alias("keys"), F.round(total, 6).alias("total"), F.size("values").cast("bigint").alias("streams"))
 
 
-@query("""WITH e AS (SELECT vec_id, list_concat(embedding[1:8], embedding[9:9]) AS v FROM embeddings)
-SELECT vec_id, CAST(len(v) AS INTEGER) AS width, v[9] AS last, round(list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE))), 5) AS total FROM e""")
+@query(f"""WITH e AS (SELECT vec_id, list_concat(embedding[33:{WIDTH}], embedding[1:32]) AS v FROM embeddings)
+SELECT vec_id, CAST(len(v) AS INTEGER) AS width, v[1] AS first, v[{WIDTH}] AS last, round(list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE))), 5) AS total FROM e""")
 def vector_concat_f32(spark, sf):
-    v = X.concat_float32(F.slice("embedding", 1, 8), F.slice("embedding", 9, 1))
+    v = X.concat_float32(F.slice("embedding", 33, 32), F.slice("embedding", 1, 32))
     total = F.aggregate(F.col("v"), F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return _t(spark, sf, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.size("v").alias("width"), F.get("v", F.lit(8)).alias("last"), F.round(total, 5).alias("total"))
+    return _t(spark, sf, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.size("v").alias("width"), F.get("v", F.lit(0)).alias("first"), F.get("v", F.lit(WIDTH - 1)).alias("last"), F.round(total, 5).alias("total"))
 
 
 # features and indices
@@ -174,18 +177,19 @@ def vector_concat_f32(spark, sf):
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def success_only(spark, sf):
-    return _t(spark, sf, "orders").where(F.col("o_orderstatus") == "F").select("o_orderkey", "o_custkey")
+    return frames.successful(_t(spark, sf, "orders"), F.col("o_orderstatus") == "F").select("o_orderkey", "o_custkey")
 
 
-@query("SELECT DISTINCT user_id, CAST(dense_rank() OVER (ORDER BY user_id) - 1 AS BIGINT) AS episode_index FROM events WHERE user_id % 3 = 1")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS episode_index FROM orders WHERE o_orderstatus = 'F'")
 def episode_remap(spark, sf):
-    e = readings(spark, sf).where(F.col("episode") % 3 == 1).select(F.col("episode").alias("user_id")).distinct()
-    return episodes.episode_remap(e, "user_id")
+    kept = frames.successful(_t(spark, sf, "orders"), F.col("o_orderstatus") == "F")
+    return episodes.episode_remap(kept.select("o_orderkey"), "o_orderkey")
 
 
-@query("SELECT DISTINCT p_size, CAST(dense_rank() OVER (ORDER BY p_size) - 1 AS BIGINT) AS new_task_index FROM part WHERE p_size % 2 = 0")
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS new_task_index FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
 def task_remap(spark, sf):
-    return episodes.task_remap(_t(spark, sf, "part").where("p_size % 2 = 0"), "p_size")
+    lines = _t(spark, sf, "lineitem").where(F.col("l_returnflag") == "R").select(F.col("l_partkey").alias("p_partkey"))
+    return episodes.task_remap(frames.with_some(_t(spark, sf, "part"), lines, ["p_partkey"]), "p_partkey")
 
 
 @query("""WITH n AS (SELECT user_id, count(*) AS length FROM events GROUP BY user_id)
@@ -218,27 +222,27 @@ def joint_names(spark, sf):
 
 @query("SELECT o_orderkey, c_name AS prompt FROM orders JOIN customer ON o_custkey = c_custkey")
 def episode_task_join(spark, sf):
-    # no hint: customers grow with the data, so the planner decides by their size
-    o, c = _t(spark, sf, "orders"), _t(spark, sf, "customer")
-    return o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", F.col("c_name").alias("prompt"))
+    out = frames.with_task(_t(spark, sf, "orders"), _t(spark, sf, "customer"), "o_custkey", "c_custkey", F.col("c_name").alias("prompt"))
+    return out.select("o_orderkey", "prompt")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def stream_exists_semijoin(spark, sf):
-    lines = _t(spark, sf, "lineitem").where(F.col("l_returnflag") == "R").select(F.col("l_orderkey").alias("o_orderkey"))
-    return _t(spark, sf, "orders").select("o_orderkey").join(lines, "o_orderkey", "left_semi")
+    return frames.with_some(_t(spark, sf, "orders").select("o_orderkey"), _returned(spark, sf), ["o_orderkey"])
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def missing_antijoin(spark, sf):
-    lines = _t(spark, sf, "lineitem").where(F.col("l_returnflag") == "R").select(F.col("l_orderkey").alias("o_orderkey"))
-    return _t(spark, sf, "orders").select("o_orderkey").join(lines, "o_orderkey", "left_anti")
+    return frames.without_any(_t(spark, sf, "orders").select("o_orderkey"), _returned(spark, sf), ["o_orderkey"])
 
 
-@query("WITH d AS (SELECT l_orderkey, count(*) AS data_frames, count(*) FILTER (l_quantity > 0) AS video_frames FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, data_frames, video_frames, data_frames = video_frames AS consistent FROM d")
+@query("""WITH d AS (SELECT l_orderkey, count(*) AS data_frames FROM lineitem GROUP BY l_orderkey), v AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_linestatus = 'O' GROUP BY l_orderkey)
+SELECT d.l_orderkey, data_frames, coalesce(n, 0) AS video_frames, data_frames = coalesce(n, 0) AS consistent FROM d LEFT JOIN v ON d.l_orderkey = v.l_orderkey""")
 def frame_count_guard(spark, sf):
-    d = _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("data_frames"), F.count(F.when(F.col("l_quantity") > 0, 1)).alias("video_frames"))
-    return d.withColumn("consistent", F.col("data_frames") == F.col("video_frames"))
+    lines = _t(spark, sf, "lineitem")
+    data = lines.groupBy("l_orderkey").agg(F.count("*").alias("data_frames"))
+    video = frames.only(lines, "l_linestatus", "O").groupBy("l_orderkey").agg(F.count("*").alias("video_frames"))
+    return frames.frame_guard(data, video, ["l_orderkey"])
 
 
 # statistics
@@ -308,16 +312,14 @@ def pixel_moments(spark, sf):
 @query("""SELECT count(*) AS total_frames, count(DISTINCT l_orderkey) AS total_episodes, count(DISTINCT l_suppkey) AS total_tasks,
 count(DISTINCT l_orderkey) * 4 AS total_videos, CAST(ceil(count(DISTINCT l_orderkey) / 1000.0) AS BIGINT) AS total_chunks FROM lineitem""")
 def dataset_totals(spark, sf):
-    t = _t(spark, sf, "lineitem").agg(F.count("*").alias("total_frames"), F.countDistinct("l_orderkey").alias("total_episodes"), F.countDistinct("l_suppkey").alias("total_tasks"))
-    return t.withColumns({"total_videos": F.col("total_episodes") * 4, "total_chunks": F.ceil(F.col("total_episodes") / 1000).cast("bigint")})
+    return frames.totals(_t(spark, sf, "lineitem"), "l_orderkey", "l_suppkey", 4)
 
 
 @query("""WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), e AS (SELECT *, CAST(round_even(n * CAST(0.85 AS DOUBLE), 0) AS BIGINT) AS te FROM n)
 SELECT user_id, '0:' || te AS train, CASE WHEN te < n THEN te || ':' || n END AS val FROM e""")
 def train_val_split(spark, sf):
-    n = _t(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n")).withColumn("te", X.train_end("n", 0.85))
-    s = lambda c: F.col(c).cast("string")
-    return n.select("user_id", F.concat(F.lit("0:"), s("te")).alias("train"), F.when(F.col("te") < F.col("n"), F.concat(s("te"), F.lit(":"), s("n"))).alias("val"))
+    n = _t(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    return frames.split_ranges(n, "n", 0.85).select("user_id", "train", "val")
 
 
 # data quality
@@ -409,8 +411,8 @@ def merge_task_map(spark, sf):
 @query("""SELECT n.n_nationkey AS dataset, n.n_regionkey IS DISTINCT FROM z.n_regionkey AS mismatch FROM nation n, (SELECT n_regionkey FROM nation WHERE n_nationkey = 0) z WHERE n.n_nationkey > 0""")
 def merge_compat(spark, sf):
     n = _t(spark, sf, "nation")
-    first = n.where("n_nationkey = 0").select(F.col("n_regionkey").alias("first"))  # one row
-    return n.where("n_nationkey > 0").join(F.broadcast(first)).select(F.col("n_nationkey").alias("dataset"), (~F.col("n_regionkey").eqNullSafe(F.col("first"))).alias("mismatch"))
+    out = frames.mismatches(n.where("n_nationkey > 0"), n.where("n_nationkey = 0"), "n_regionkey")
+    return out.select(F.col("n_nationkey").alias("dataset"), "mismatch")
 
 
 # packing and sinks
@@ -428,16 +430,13 @@ def pack_files(spark, sf):
 SELECT conv_id, (sum(n) OVER w - n) / 30.0::DOUBLE AS from_timestamp, sum(n) OVER w / 30.0::DOUBLE AS to_timestamp FROM n WINDOW w AS (PARTITION BY file ORDER BY conv_id)""")
 def video_timestamps(spark, sf):
     n = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
-    w = W.partitionBy(F.floor(F.col("conv_id") / 10)).orderBy("conv_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    upto = F.sum("n").over(w)
-    return n.select("conv_id", ((upto - F.col("n")) / 30.0).alias("from_timestamp"), (upto / 30.0).alias("to_timestamp"))
+    return frames.video_times(n, [F.floor(F.col("conv_id") / 10)], "conv_id", "n", 30).select("conv_id", "from_timestamp", "to_timestamp")
 
 
 @query("SELECT 'ep' || label || '/obs/joint' || (unnest(range(len(embedding))) + 1) AS entity, vec_id AS \"timestamp\", CAST(unnest(embedding) AS DOUBLE) AS scalar FROM embeddings")
 def long_series(spark, sf):
-    e = _t(spark, sf, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("p", "x"))
-    joint = F.concat(F.lit("joint"), (F.col("p") + 1).cast("string"))
-    return e.select(X.entity_path("label", F.lit("obs"), joint).alias("entity"), F.col("vec_id").alias("timestamp"), F.col("x").cast("double").alias("scalar"))
+    joint = F.concat(F.lit("joint"), (F.col("pos") + 1).cast("string"))
+    return frames.long_series(_t(spark, sf, "embeddings"), "embedding", X.entity_path("label", F.lit("obs"), joint), "vec_id")
 
 
 @query("""WITH w AS (SELECT n_nationkey, n_name, CAST(n_nationkey % 3 + 1 AS BIGINT) AS width FROM nation)
@@ -465,10 +464,10 @@ def export_features(spark, sf):
     kept = _t(spark, sf, "orders").where(F.col("o_orderstatus") != "P").select(F.col("o_orderkey").alias("e"), (F.col("o_orderstatus") == "F").alias("s"))
     lines = _t(spark, sf, "lineitem")
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    frames = lines.select(F.col("l_orderkey").alias("e"), (F.row_number().over(w) - 1).cast("bigint").alias("frame_index"))
-    lengths = frames.groupBy("e").agg(F.count("*").alias("n"))
+    numbered = lines.select(F.col("l_orderkey").alias("e"), (F.row_number().over(w) - 1).cast("bigint").alias("frame_index"))
+    lengths = numbered.groupBy("e").agg(F.count("*").alias("n"))
     table = episodes.global_index(episodes.episode_remap(kept.join(lengths, "e"), "e"), "episode_index", "n")
-    out = frames.join(table, "e")
+    out = numbered.join(table, "e")
     return out.select("episode_index", "frame_index", (F.col("dataset_from_index") + F.col("frame_index")).alias("index"), (F.col("frame_index") / 30.0).alias("timestamp"), F.col("s").cast("bigint").alias("success"), (F.col("n") - 1).alias("last_frame_index"))
 
 
