@@ -9,11 +9,11 @@ from functools import cached_property
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions.expressions import concat_float32, has_gap, unix_seconds
 from .operators import align, smooth
+from .operators import frames as fr
 from .sources import streams
 from .sources.metadata import Metadata
 
@@ -54,7 +54,7 @@ class Camera:
         return self.rows.orderBy("t_ns", "name")
 
     def get_frame(self, i: int):
-        return self.rows.withColumn("i", F.row_number().over(W.orderBy("t_ns", "name")) - 1).where(F.col("i") == i).drop("i").first()
+        return fr.frame_at(self.rows, i, ["episode_pos", "camera"], ["t_ns", "name"]).first()
 
     @property
     def num_frames(self) -> int:
@@ -72,23 +72,18 @@ class Camera:
         return streams.with_bytes(self.rows.sparkSession, self.rows)
 
     def load(self, i: int):
-        """The i-th frame as height x width x 3 in red, green, blue."""
-        import tempfile
+        """The i-th frame as height x width x 3 in red, green, blue; the driver's JVM decodes its bytes."""
+        from .functions.images import decoded_bytes
 
-        from .functions.images import decoded, pixels
-
-        row = self.get_frame(i)
-        with tempfile.TemporaryDirectory() as folder:
-            r = decoded(self.rows.sparkSession, self.materialize(folder, row)).first()
-        return pixels(bytes(r.data), r.height, r.width, r.channels)
+        f = self.get_frame(i)
+        return decoded_bytes(self.rows.sparkSession, streams.frame_bytes(f.path, f.container, f.offset, f.size))
 
     def materialize(self, folder: str | os.PathLike, frame) -> str:
         """A file that holds the frame: its own where it has one, else an extracted copy in ``folder``."""
         if frame.container is None:
             return frame.path
-        row = streams.with_bytes(self.rows.sparkSession, self.rows.where(F.col("path") == frame.path)).first()
         path = Path(folder, frame.name)
-        path.write_bytes(bytes(row.bytes))
+        path.write_bytes(streams.frame_bytes(frame.path, frame.container, frame.offset, frame.size))
         return str(path)
 
 
@@ -100,15 +95,22 @@ class Dataset:
     """
 
     def __init__(self, path: str | os.PathLike, spark: SparkSession | None = None, camera_names: list[str] | None = None, smoothing: float | None = None):
-        self.root_path = Path(path)
-        self.root = str(self.root_path.resolve())
         self.spark = spark or SparkSession.builder.getOrCreate()
-        self.meta = Metadata(self.root_path / "metadata.yaml")
+        #: A path, or a URI of any store that Spark reads; only what writes into the dataset needs a path.
+        self.is_local = "://" not in str(path)
+        self.root = str(Path(path).resolve()) if self.is_local else str(path).rstrip("/")
+        self.meta = Metadata.load(self.root, self.spark)
         self._camera_names = camera_names
         self.smoothing = smoothing
 
     def with_smoothing(self, cutoff: float | None) -> Dataset:
-        return Dataset(self.root_path, self.spark, self._camera_names, cutoff)
+        return Dataset(self.root, self.spark, self._camera_names, cutoff)
+
+    @property
+    def root_path(self) -> Path:
+        if not self.is_local:
+            raise ValueError(f"{self.root} is no path; this needs one that every machine mounts")
+        return Path(self.root)
 
     def set_smoothing(self, cutoff: float | None) -> None:
         self.smoothing = cutoff
@@ -147,7 +149,9 @@ class Dataset:
         return self.spark.createDataFrame(rows, "task_index int, prompt string, description string")
 
     def readings(self, chosen: list[int] | None = None, cutoff: float | None = None) -> DataFrame:
-        rows = streams.readings(self.spark, self.root, self.meta, chosen)
+        return self._smoothed(streams.readings(self.spark, self.root, self.meta, chosen), cutoff)
+
+    def _smoothed(self, rows: DataFrame, cutoff: float | None = None) -> DataFrame:
         cutoff = cutoff or self.smoothing
         return smooth.smoothed(rows, KEYS, cutoff) if cutoff else rows
 
@@ -156,21 +160,24 @@ class Dataset:
 
     def streams(self, category: str, episode: int | dict) -> list[streams.Stream]:
         """The streams an episode has by its files; state files are found by looking."""
-        base = self.episode_path(episode)
-        found = lambda c, e, part: (base / (c if self.meta.version is None else f"{c}/{e}") / part / "state.parquet").exists()
-        return streams.catalogue(self.meta, category, found)
+        place = lambda c, e, part: f"{c}/{part}" if self.meta.version is None else f"{c}/{e}/{part}"
+        if self.is_local:
+            base = self.episode_path(episode)
+            return streams.catalogue(self.meta, category, lambda *p: (base / place(*p) / "state.parquet").exists())
+        folder = f"{self.root}/episodes/{self.meta.episodes[self.position(episode)]['id']}"
+        states = [r.path for r in streams.listing(self.spark, [folder], "state.parquet").select("path").collect()]  # of one episode
+        return streams.catalogue(self.meta, category, lambda *p: any(x.endswith(f"/{place(*p)}/state.parquet") for x in states))
 
     # one episode
 
     def _load(self, category: str, episode, use_unixtime: bool, cutoff: float | None) -> dict[str, DataFrame]:
         at = self.position(episode)
-        rows = self.readings([at], cutoff).where(F.col("category") == category)
+        rows = fr.only(self.readings([at], cutoff), "category", category)
         out = {}
         for s in self.streams(category, at):
             joints = self.meta.embodiments[s.embodiment].joints
             time = unix_seconds("t_ns").alias("timestamp") if use_unixtime else F.col("t_ns").alias("timestamp")
-            mine = rows.where(F.col("key") == s.key).orderBy("row_pos")
-            out[s.key] = mine.select(time, *[F.get("values", F.lit(i)).alias(j) for i, j in enumerate(joints)])
+            out[s.key] = fr.named_joints(fr.only(rows, "key", s.key).orderBy("row_pos"), "values", joints, time)
         return out
 
     def load_obs(self, episode, use_unixtime: bool = False, cutoff: float | None = None) -> dict[str, DataFrame]:
@@ -183,7 +190,7 @@ class Dataset:
     def load_camera(self, name: str, episode) -> Camera:
         if name not in self.camera_names:
             raise KeyError(name)
-        return Camera(name, self.frames([self.position(episode)]).where(F.col("camera") == name))
+        return Camera(name, fr.only(self.frames([self.position(episode)]), "camera", name))
 
     def load_cameras(self, episode) -> dict[str, Camera]:
         return {n: self.load_camera(n, episode) for n in self.camera_names}
@@ -202,13 +209,17 @@ class Dataset:
         """(episode_pos, kind, name, k, t, values, frame): the first reading of each stream not before each grid point."""
         if hz <= 0:
             raise ValueError("the rate must be positive")
-        r = self.readings(chosen)
-        r = r.select("episode_pos", F.col("category").alias("kind"), F.col("key").alias("name"), F.concat("category", F.lit(":"), "key").alias("stream"), unix_seconds("t_ns").alias("src_t"), F.col("values").cast("array<double>").alias("values"), F.lit(None).cast("string").alias("frame"), F.col("row_pos").alias("pos"))
+
+        def long(r: DataFrame) -> DataFrame:
+            return r.select("episode_pos", F.col("category").alias("kind"), F.col("key").alias("name"), F.concat("category", F.lit(":"), "key").alias("stream"), unix_seconds("t_ns").alias("src_t"), F.col("values").cast("array<double>").alias("values"), F.lit(None).cast("string").alias("frame"), F.col("row_pos").alias("pos"))
+
         f = self.frames(chosen)
         f = f.select("episode_pos", F.lit("camera").alias("kind"), F.col("camera").alias("name"), F.concat(F.lit("camera:"), "camera").alias("stream"), unix_seconds("t_ns").alias("src_t"), F.lit(None).cast("array<double>").alias("values"), F.col("path").alias("frame"), F.lit(0).cast("bigint").alias("pos"))
-        every = r.unionByName(f)
-        grid = align.with_float_grid(align.common_range(every, "episode_pos", "stream", "src_t"), hz)
-        out = align.forward_asof(every, grid, "episode_pos", "stream", "src_t", ["pos", "frame"])
+        # smoothing moves no time: ranges come from what is recorded, so nothing is filtered for them
+        raw = streams.readings(self.spark, self.root, self.meta, chosen)
+        recorded = long(raw).unionByName(f).select("episode_pos", "stream", "src_t")
+        grid = align.with_float_grid(align.common_range(recorded, "episode_pos", "stream", "src_t"), hz)
+        out = align.forward_asof(long(self._smoothed(raw)).unionByName(f), grid, "episode_pos", "stream", "src_t", ["pos", "frame"])
         return out.select("episode_pos", "kind", "name", "k", F.col("grid_t").alias("t"), "values", "frame")
 
     def samples(self, hz: float, chosen: list[int] | None = None) -> DataFrame:

@@ -22,6 +22,16 @@ def decoded(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return df.select(F.col("image.origin").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
 
 
+def decoded_bytes(spark: SparkSession, data: bytes) -> np.ndarray:
+    """The pixels of one image in memory."""
+    schema = getattr(getattr(spark._jvm.org.apache.spark.ml.image, "ImageSchema$"), "MODULE$")
+    found = schema.decode("", data)
+    if found.isEmpty():
+        raise ValueError("not an image that the JVM decodes")
+    row = found.get().getStruct(0)
+    return pixels(bytes(row.get(5)), row.getInt(1), row.getInt(2), row.getInt(3))
+
+
 def pixels(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     """Height x width x 3 in the order red, green, blue; grey is repeated."""
     a = np.frombuffer(data, np.uint8).reshape(height, width, channels)

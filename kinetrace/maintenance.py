@@ -52,10 +52,11 @@ def repaired_table(table: pa.Table) -> tuple[pa.Table, int, int]:
 def repair(dataset: Dataset, output: str | os.PathLike | None = None, on_repair: Callable[[str], None] | None = None, on_error: Callable[[str], None] | None = None) -> tuple[int, int]:
     """Repair a dataset in place, or a copy in ``output``; (repaired, left) elements. One task a bad file.
 
-    Only files in which ``validate`` finds a gap are opened; a changed one is replaced by a rename.
+    Only files in which ``validate`` finds a gap are opened; a changed one is replaced by a rename. A copy has the
+    latest layout, and links to the cameras, which repairing leaves alone.
     """
     if output is not None:
-        dataset.write(output)
+        dataset.write(output, link_cameras=True)
         dataset = Dataset(output, dataset.spark, dataset._camera_names)
     root = dataset.root
 

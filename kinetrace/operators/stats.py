@@ -33,6 +33,7 @@ def _by_rank(rows: DataFrame, keys: list[str]) -> DataFrame:
     A sketch brackets each quantile within a few ten thousandths of the group; a second pass counts what lies
     before the bracket and how often each value in it occurs, and the ranks of those few values give the quantile.
     """
+    rows, names, keys = rows.select(F.struct(*keys).alias("group"), "x"), keys, ["group"]  # a key with a null in it joins too
     wide = 3 / ACCURACY
     ends = [e for p in QUANTILES.values() for e in (max(0.0, p - wide), min(1.0, p + wide))]
     x = F.col("x")
@@ -54,33 +55,37 @@ def _by_rank(rows: DataFrame, keys: list[str]) -> DataFrame:
     picked = inside.groupBy(*keys, "i").agg(at(F.floor(place)).alias("low"), at(F.ceil(place)).alias("high"), F.first(place - F.floor(place)).alias("part"))
     value = F.col("low") * (1 - F.col("part")) + F.col("high") * F.col("part")
     wide_ = picked.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, value)).alias(n) for i, n in enumerate(QUANTILES)])
-    return per.join(wide_, keys, "left").select(*keys, *STATISTICS)
+    return per.join(wide_, keys, "left").select(*[F.col("group").getField(k).alias(k) for k in names], *STATISTICS)
 
 
-def _described(rows: DataFrame, value: Column, keys: list[str], total: int) -> DataFrame:
-    """min, max, mean, population std and linear quantiles of what is neither null nor NaN; count of all rows."""
+def described(rows: DataFrame, value: Column, keys: list[str], total: int) -> DataFrame:
+    """min, max, mean, population std and linear quantiles of what is neither null nor NaN; count of all rows.
+
+    No group has more than ``total`` rows.
+    """
     rows = rows.select(*keys, nan_to_null(value.cast("double")).alias("x"))
     if total <= HELD:  # then no group has more
         return _in_buffers(rows, keys)
     if not keys:
         return _by_rank(rows.withColumn("all", F.lit(0)), ["all"]).drop("all")
-    large = rows.groupBy(*keys).agg(F.count("*").alias("rows")).where(F.col("rows") > HELD).drop("rows").persist()
+    large = rows.groupBy(*keys).agg(F.count("*").alias("rows")).where(F.col("rows") > HELD)
+    large = large.select(*[F.col(k).alias(f"large_{i}") for i, k in enumerate(keys)]).persist()
     n = large.count()  # at most total / HELD
     if not n:
         return _in_buffers(rows, keys)
-    on = [rows[k].eqNullSafe(large[k]) for k in keys]
+    on = [F.col(k).eqNullSafe(F.col(f"large_{i}")) for i, k in enumerate(keys)]
     large = F.broadcast(large) if n <= 1 << 16 else large
     return _in_buffers(rows.join(large, on, "left_anti"), keys).unionByName(_by_rank(rows.join(large, on, "left_semi"), keys))
 
 
 def describe(rows: DataFrame, value: str, *keys: str) -> DataFrame:
-    return _described(rows, F.col(value), list(keys), rows.count())
+    return described(rows, F.col(value), list(keys), rows.count())
 
 
 def describe_vector(rows: DataFrame, vector: str, *keys: str) -> DataFrame:
     """A row for each key and place in the vector."""
     long = rows.select(*keys, F.posexplode(vector).alias("pos", "x"))
-    return _described(long, F.col("x"), [*keys, "pos"], rows.count())
+    return described(long, F.col("x"), [*keys, "pos"], rows.count())
 
 
 def as_arrays(described: DataFrame, *keys: str) -> DataFrame:

@@ -7,7 +7,12 @@ time ``ts`` in microseconds), ``embeddings`` joint vectors (episode ``label``, f
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -15,6 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..operators import align, episodes, frames, repair, smooth, stats
+from ..sinks import episodic, packed
+from ..sinks.common import plain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -471,6 +478,62 @@ def export_features(spark, sf):
     return out.select("episode_index", "frame_index", (F.col("dataset_from_index") + F.col("frame_index")).alias("index"), (F.col("frame_index") / 30.0).alias("timestamp"), F.col("s").cast("bigint").alias("success"), (F.col("n") - 1).alias("last_frame_index"))
 
 
+# files
+
+
+def _recording(spark, sf):
+    """The frame table of an export of joint vectors: an episode a label, its frames in the order of their ids."""
+    e = _t(spark, sf, "embeddings").select(F.col("label").cast("bigint").alias("label"), "vec_id", "embedding")
+    f = e.withColumn("frame_index", (F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1).cast("bigint"))
+    lengths = f.groupBy("label").agg(F.count("*").alias("n"))
+    table = episodes.global_index(episodes.episode_remap(lengths, "label"), "episode_index", "n")
+    return f.join(table, "label").select(
+        F.col("embedding").alias("action"), F.reverse("embedding").alias("observation.state"), (F.col("frame_index") / F.lit(30.0)).alias("timestamp"), "frame_index", "episode_index",
+        (F.col("dataset_from_index") + F.col("frame_index")).alias("index"), (F.col("label") % 3).alias("task_index"), (F.col("label") % 2).alias("success"), (F.col("n") - 1).alias("last_frame_index"))
+
+
+def _folder(spark) -> str:
+    """A new path that every executor mounts: below ``spark.checkpoint.dir``, or on one machine a temporary one; gone at exit."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    base = named.removeprefix("file:") if named else None
+    if base:
+        os.makedirs(base, exist_ok=True)
+    folder = tempfile.mkdtemp(prefix="kinetrace-files-", dir=base)
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
+
+
+def _read_back(df: DataFrame, *more) -> DataFrame:
+    v = lambda c, i: F.element_at(F.col(f"`{c}`"), i)
+    return df.select(
+        "episode_index", "frame_index", "index", "timestamp", "task_index", "success", "last_frame_index", *more,
+        v("action", 1).alias("first"), v("action", -1).alias("last"), v("observation.state", 1).alias("state_first"), F.size("action").alias("width"))
+
+
+_ROUND = """WITH f AS (SELECT label, embedding AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, count(*) OVER (PARTITION BY label) AS n,
+dense_rank() OVER (ORDER BY label) - 1 AS e, row_number() OVER (ORDER BY label, vec_id) - 1 AS i FROM embeddings)
+SELECT e AS episode_index, k AS frame_index, i AS index, k / 30.0::DOUBLE AS "timestamp", CAST(label % 3 AS BIGINT) AS task_index, CAST(label % 2 AS BIGINT) AS success, n - 1 AS last_frame_index,
+{more}v[1] AS first, v[len(v)] AS last, v[len(v)] AS state_first, CAST(len(v) AS INTEGER) AS width FROM f"""
+
+
+@query(_ROUND.format(more="format('chunk-{:03d}/episode_{:06d}.parquet', e // 1000, e) AS file, "))
+def write_read_roundtrip_v21(spark, sf):
+    """A file an episode, written and read again, with the file's name."""
+    folder = _folder(spark)
+    episodic.write_frames(plain(_recording(spark, sf)), Path(folder))
+    return _read_back(spark.read.parquet(f"file://{folder}/data/*/*.parquet"), F.regexp_extract("_metadata.file_path", "[^/]+/[^/]+$", 0).alias("file"))
+
+
+@query(_ROUND.format(more=""))
+def write_read_roundtrip_v30(spark, sf):
+    """Files of many episodes, of a tenth of a megabyte, written and read again."""
+    folder = _folder(spark)
+    packed.write_frames(plain(_recording(spark, sf)), Path(folder), 0.1)
+    return _read_back(spark.read.parquet(f"file://{folder}/data/*/*.parquet"))
+
+
 # smoothing
 
 

@@ -7,6 +7,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import CHUNK, SCALARS, Export, dump, layout, plain, statistics_of
@@ -16,18 +17,21 @@ VIDEO = "videos/chunk-{episode_chunk:03d}/{video_key}/episode_{episode_index:06d
 EPISODE_SCALARS = [c for c in SCALARS if c not in ("success", "last_frame_index")]
 
 
-def write(dataset, output: Path, **options) -> Export:
-    """Options: fps=30, train_split=0.8, smoothing_cutoff=1.0, success_only=False."""
+def write(dataset, output: Path, **options) -> None:
+    """Options: fps=30, train_split=0.8, smoothing_cutoff=1.0, success_only=False, videos=True, encoder="ffmpeg"."""
     x = Export(dataset, output, **options)
-    x.check_cameras()
-    write_data(x, output)
-    if dataset.camera_names:
-        x.videos(output, "videos/chunk-{chunk:03d}/{key}/episode_{file:06d}.mp4")
-    write_metadata(x, output)
-    return x
-
-
-def write_data(x: Export, output: Path) -> None:
+    try:
+        x.check_cameras()
+        write_frames(plain(x.frames), output)
+        if dataset.camera_names:
+            x.videos(output, "videos/chunk-{chunk:03d}/{key}/episode_{file:06d}.mp4")
+        write_metadata(x, output)
+    finally:
+        x.close()
+
+
+def write_frames(frames: DataFrame, output: Path) -> None:
+    """A file for each episode of frames (the columns of ``plain``), in the order of ``frame_index``."""
     base = str(output.resolve())
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -37,7 +41,7 @@ def write_data(x: Export, output: Path) -> None:
         pq.write_table(layout(table, "frame_index"), path)
         return pa.table({"n": pa.array([len(table)], pa.int64())})
 
-    plain(x.frames).groupBy("episode_index").applyInArrow(run, "n bigint").agg(F.sum("n")).collect()
+    frames.groupBy("episode_index").applyInArrow(run, "n bigint").agg(F.sum("n")).collect()
 
 
 def write_metadata(x: Export, output: Path) -> None:

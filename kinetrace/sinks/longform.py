@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import entity_path
+from ..operators.frames import long_series
 from .common import dump
 
 SHARES = (0.3, 0.35, 0.35)
@@ -16,9 +17,9 @@ SHARES = (0.3, 0.35, 0.35)
 def series(dataset, fps: float = 30) -> DataFrame:
     """(entity, timestamp, scalar) of every joint of every sampled stream."""
     joints = dataset.spark.createDataFrame([("/".join(filter(None, (e.name, c, a))), i, j) for e in dataset.meta.embodiments.values() for c in e.components or (None,) for a in (*e.attributes, "qvel", "qtorque") for i, j in enumerate(e.joints)], "name string, pos int, joint string")
-    rows = dataset.aligned(fps).where(F.col("kind") != "camera").select("episode_pos", "kind", "name", "t", F.posexplode("values").alias("pos", "scalar"))
-    rows = rows.join(F.broadcast(joints), ["name", "pos"]).join(dataset.episodes, "episode_pos")
-    return rows.select(entity_path("episode_id", "kind", "name", "joint").alias("entity"), F.col("t").alias("timestamp"), "scalar")
+    named = joints.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "joint"))), lambda x: x["joint"]).alias("joints"))
+    rows = dataset.aligned(fps).where(F.col("kind") != "camera").join(F.broadcast(named), "name").join(dataset.episodes, "episode_pos")
+    return long_series(rows, "values", entity_path("episode_id", "kind", "name", F.get("joints", F.col("pos"))), "t")
 
 
 def camera_references(dataset, fps: float = 30) -> DataFrame:
@@ -39,6 +40,8 @@ def blueprint(dataset) -> dict:
 
 def write(dataset, output: Path, application_id: str | None = None, fps: float = 30) -> None:
     """Parquet tables and the description in a folder; the viewer's own binary file needs its SDK."""
-    series(dataset, fps).write.mode("overwrite").partitionBy("entity").parquet(str(output / "series"))
+    rows = series(dataset, fps).withColumn("episode", F.split_part("entity", F.lit("/"), F.lit(1)))
+    # a folder an episode; within it the entities are sorted, so a reader of one skips to it
+    rows.repartition("episode").sortWithinPartitions("episode", "entity", "timestamp").write.mode("overwrite").partitionBy("episode").parquet(str(output / "series"))
     camera_references(dataset, fps).write.mode("overwrite").parquet(str(output / "cameras"))
     dump(blueprint(dataset) | {"application_id": application_id or "kinetrace"}, output / "blueprint.json")

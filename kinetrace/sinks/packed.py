@@ -8,6 +8,7 @@ from pathlib import Path
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import episodes as E
@@ -20,23 +21,34 @@ VIDEO = "videos/{video_key}/chunk-{chunk_index:03d}/file-{file_index:03d}.mp4"
 DATA_MB, VIDEO_MB = 100, 200
 
 
-def write(dataset, output: Path, data_mb: float = DATA_MB, video_mb: float = VIDEO_MB, **options) -> Export:
-    """Options: fps=30, train_split=0.8, smoothing_cutoff=1.0, success_only=False."""
+def write(dataset, output: Path, data_mb: float = DATA_MB, video_mb: float = VIDEO_MB, **options) -> None:
+    """Options: fps=30, train_split=0.8, smoothing_cutoff=1.0, success_only=False, videos=True, encoder="ffmpeg"."""
     x = Export(dataset, output, **options)
-    x.check_cameras()
-    files = write_data(x, output, data_mb)
-    places = x.video_places(video_mb) if dataset.camera_names else {}
-    if places:
-        x.videos(output, "videos/{key}/chunk-{chunk:03d}/file-{file:03d}.mp4", places)
-    write_metadata(x, output, files, places)
-    return x
-
-
-def write_data(x: Export, output: Path, data_mb: float) -> dict[int, tuple[int, int]]:
-    """{episode: (chunk, file)}; an episode's size is estimated by its values' width, as Parquet stores floats plainly."""
-    width = 8 * len(x.joint_names) + 56
-    sizes = x.table.select("episode_index", (F.col("length") * width / 2**20).alias("mb"))
-    place = E.packed_files(sizes, "episode_index", "mb", data_mb).persist()
+    try:
+        x.check_cameras()
+        files = write_frames(plain(x.frames), output, data_mb)
+        places = x.video_places(video_mb) if x.program else {}
+        if dataset.camera_names:
+            x.videos(output, "videos/{key}/chunk-{chunk:03d}/file-{file:03d}.mp4", places or None)
+        write_metadata(x, output, files, places, data_mb, video_mb)
+    finally:
+        x.close()
+
+
+def file_sizes(frames: DataFrame) -> DataFrame:
+    """(episode_index, mb): what each episode's frames need as a file of their own."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        out = pa.BufferOutputStream()
+        pq.write_table(layout(table, "frame_index"), out)
+        return pa.table({"episode_index": pa.array([key[0].as_py()], pa.int64()), "mb": pa.array([out.getvalue().size / 2**20])})
+
+    return frames.groupBy("episode_index").applyInArrow(run, "episode_index bigint, mb double")
+
+
+def write_frames(frames: DataFrame, output: Path, data_mb: float) -> dict[int, tuple[int, int]]:
+    """{episode: (chunk, file)}: files of many episodes, filled by the measured sizes of those."""
+    place = E.packed_files(file_sizes(frames), "episode_index", "mb", data_mb).persist()
     base = str(output.resolve())
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -45,15 +57,17 @@ def write_data(x: Export, output: Path, data_mb: float) -> dict[int, tuple[int,
         pq.write_table(layout(table, "index"), path)
         return pa.table({"n": pa.array([len(table)], pa.int64())})
 
-    frames = plain(x.frames.join(place, "episode_index"), "chunk_index", "file_index")
-    frames.groupBy("chunk_index", "file_index").applyInArrow(run, "n bigint").agg(F.sum("n")).collect()
-    return {r.episode_index: (r.chunk_index, r.file_index) for r in place.collect()}
+    rows = frames.join(place.select("episode_index", "chunk_index", "file_index"), "episode_index")
+    rows.groupBy("chunk_index", "file_index").applyInArrow(run, "n bigint").agg(F.sum("n")).collect()
+    out = {r.episode_index: (r.chunk_index, r.file_index) for r in place.toLocalIterator()}
+    place.unpersist()
+    return out
 
 
-def write_metadata(x: Export, output: Path, files: dict[int, tuple[int, int]], places: dict) -> None:
+def write_metadata(x: Export, output: Path, files: dict[int, tuple[int, int]], places: dict, data_mb: float, video_mb: float) -> None:
     per = x.statistics("episode_index").where(F.col("feature").isin("action", "observation.state", *EPISODE_SCALARS)).persist()
     stats: dict[int, dict] = {}
-    for r in per.collect():
+    for r in per.toLocalIterator():
         for name, v in statistics_of(r).items():
             stats.setdefault(r.episode_index, {})[f"stats/{r.feature}/{name}"] = v
     shown = x.image_statistics()
@@ -77,8 +91,9 @@ def write_metadata(x: Export, output: Path, files: dict[int, tuple[int, int]], p
     long = per.select("feature", "episode_index", F.posexplode(F.arrays_zip(*names)).alias("pos", "s")).select("feature", "pos", *[F.col("s").getField(n).alias(n) for n in names])
     overall = {r.feature: statistics_of(r) for r in S.as_arrays(S.pooled(long, "feature", "pos"), "feature").orderBy("feature").collect()}
     dump(overall | pooled_images(shown), output / "meta" / "stats.json")
+    per.unpersist()
     info = x.info("v3.0", True)
-    dump(info | {"data_files_size_in_mb": DATA_MB, "video_files_size_in_mb": VIDEO_MB, "data_path": DATA, "video_path": VIDEO}, output / "meta" / "info.json")
+    dump(info | {"data_files_size_in_mb": data_mb, "video_files_size_in_mb": video_mb, "data_path": DATA, "video_path": VIDEO}, output / "meta" / "info.json")
 
 
 def pooled_images(shown: dict[tuple[int, str], dict]) -> dict:

@@ -42,13 +42,21 @@ def embodiment(name: str, data: dict) -> Embodiment:
 class Metadata:
     """Typed access to ``metadata.yaml`` of any layout version; ``version`` is None for the first, unversioned one."""
 
-    def __init__(self, path: str | Path):
-        path = Path(path)
-        self.data = yaml.safe_load(path.read_text(encoding="utf-8")) or {}
-        if "meta" in self.data:  # the unversioned layout keeps its episodes beside
-            self.data = self.data["meta"]
-            lines = (path.parent / "episodes.jsonl").read_text(encoding="utf-8").splitlines()
-            self.data["episodes"] = [json.loads(x) for x in lines if x.strip()]
+    def __init__(self, data: dict):
+        self.data = data
+
+    @classmethod
+    def load(cls, root: str | Path, spark=None) -> Metadata:
+        """From the folder ``root``; Spark reads what no local path names."""
+        if "://" in str(root):
+            read = lambda name: spark.read.text(f"{root}/{name}", wholetext=True).first()[0]
+        else:
+            read = lambda name: Path(str(root).removeprefix("file:"), name).read_text(encoding="utf-8")
+        data = yaml.safe_load(read("metadata.yaml")) or {}
+        if "meta" in data:  # the unversioned layout keeps its episodes beside
+            data = data["meta"]
+            data["episodes"] = [json.loads(x) for x in read("episodes.jsonl").splitlines() if x.strip()]
+        return cls(data)
 
     @property
     def version(self) -> str | None:
@@ -89,11 +97,12 @@ class Metadata:
         if self.version is not None:
             return raw
         arm = raw["leader"]["arms"]["right_arm"]
+        if "name" not in arm:  # its kind, a hyphen and a model
+            raise ValueError("equipment.leader.arms.right_arm has no name, which tells the kind of arm")
         cameras = raw["follower"]["cameras"]
         return {k: v for k, v in raw.items() if k not in ("equipment_id", "equipment_version", "leader", "follower")} | {
             "id": raw["equipment_id"],
             "version": raw["equipment_version"],
-            # the arm's name is its kind, a hyphen and a model
             "embodiments": {"arms": {"id": str(arm["name"]).partition("-")[0], "version": arm["hardware_version"]}},
             "perceptions": {"cameras": {c.removeprefix("cam_"): {} for c in cameras}},
         }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import os
 import tarfile
 from dataclasses import dataclass
@@ -16,6 +15,8 @@ from ..functions.expressions import file_name, frame_time_ns
 from .metadata import Metadata
 
 STATE = ("qpos", "qvel", "qtorque")
+#: Schemes that pyarrow opens, and what it calls them.
+SCHEMES = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs"}
 READINGS = "episode_pos int, episode_id string, category string, key string, key_pos int, row_pos bigint, t_ns bigint, values array<float>, path string"
 FRAMES = "episode_pos int, episode_id string, camera string, name string, t_ns bigint, path string, container string, offset bigint, size bigint"
 #: Episodes whose folders are named one by one to the scan; with more, the scan lists all and filters.
@@ -75,24 +76,73 @@ def below(path, root: str):
     return F.regexp_extract(path, r"^.*?/episodes/(.*)$", 1) if "/episodes/" not in root else F.element_at(F.split(path, root.rstrip("/").rsplit("/", 1)[-1] + "/episodes/"), -1)
 
 
+def opened(path: str):
+    """A file of any store that pyarrow knows, open for ranged reads on whichever machine."""
+    from pyarrow import fs
+
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
+        return fs.LocalFileSystem().open_input_file("/" + (rest if colon else path).lstrip("/"))
+    store, place = fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+    return store.open_input_file(place)
+
+
+def _spark_time(t: pa.DataType | None) -> str:
+    """The type by which Spark reads a file's times: numbers where it can't tell nanoseconds."""
+    if t is None or not pa.types.is_timestamp(t) or t.unit == "ns":
+        return "bigint"
+    return "timestamp" if t.tz else "timestamp_ntz"
+
+
+def _footers(batches):
+    """(path, time, element): the types of a file's times and of its values' elements, by its footer."""
+    import pyarrow.parquet as pq
+
+    for b in batches:
+        times, elements = [], []
+        for path in b.column(0).to_pylist():
+            with opened(path) as f:
+                schema = pq.read_schema(f)
+            times.append(_spark_time(schema.field("timestamp").type if "timestamp" in schema.names else None))
+            elements.append("double" if any(pa.types.is_list(t) and pa.types.is_float64(t.value_type) for t in schema.types) else "float")
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(times, pa.string()), pa.array(elements, pa.string())], ["path", "time", "element"])
+
+
+def _scan(spark: SparkSession, files: DataFrame, one: str, folders: list[str]) -> DataFrame:
+    """(t_ns, value columns, path, row_pos) of sensor files whose times and values may differ in type.
+
+    Files of one kind are one scan; usually all are, and then the folders are scanned and no file is named.
+    """
+    if one.partition(":")[0] in SCHEMES:
+        kinds = files.select("path").repartition(spark.sparkContext.defaultParallelism).mapInArrow(_footers, "path string, time string, element string")
+        each = sorted(tuple(r) for r in kinds.select("time", "element").distinct().collect())
+    else:  # a store that only Spark opens: one file stands for all
+        each = [(dict(spark.read.parquet(one).dtypes).get("timestamp", "bigint"), "float")]
+    wide = "double" if any(e == "double" for _, e in each) else "float"
+    values, out = (*STATE, "value", "positions"), None
+    for time, element in each:
+        reader = spark.read.schema(f"timestamp {time}, " + ", ".join(f"{c} array<{element}>" for c in values))
+        paths = folders if len(each) == 1 else [r.path for r in kinds.where((F.col("time") == time) & (F.col("element") == element)).select("path").collect()]
+        part = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(*paths)
+        t = F.col("timestamp") if time == "bigint" else F.unix_micros(F.col("timestamp").cast("timestamp")) * 1000
+        part = part.select(*[F.col(c).cast(f"array<{wide}>").alias(c) for c in values], F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row_pos"), t.alias("t_ns"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def readings(spark: SparkSession, root: str, meta: Metadata, chosen: list[int] | None = None) -> DataFrame:
     """All joint readings, one row a stream and time, in one scan of the files that exist.
 
     A state file is read once and unfolded into its three attributes; a missing attribute column gives no rows.
-    Order within a file is kept in ``row_pos``.
+    ``row_pos`` is a row's place in its file. Values are floats, or doubles where a file has them. Times in nanoseconds
+    need a setting of the session, which stays.
     """
     spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
     folders = _folders(root, meta, chosen)
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
-    if meta.num_episodes == 0 or (chosen is not None and not chosen) or not listing(spark, folders, "*.parquet").take(1):
+    files = None if meta.num_episodes == 0 or (chosen is not None and not chosen) else listing(spark, folders, "*.parquet")
+    if files is None or (one := files.first()) is None:
         return spark.createDataFrame([], READINGS)
-    # one file's time unit stands for all: nanoseconds arrive as bigint, others as a timestamp
-    one = listing(spark, folders, "*.parquet").first().path
-    kind = dict(spark.read.parquet(one).dtypes)["timestamp"]
-    columns = ", ".join(f"{c} array<float>" for c in (*STATE, "value", "positions"))
-    scan = reader.schema(f"timestamp {kind}, {columns}").parquet(*folders)
-    t = F.col("timestamp") if kind == "bigint" else F.unix_micros(F.col("timestamp").cast("timestamp")) * 1000
-    scan = scan.select("*", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("row_pos"), t.alias("t_ns"))
+    scan = _scan(spark, files, one.path, folders)
     parts = F.split(below(F.col("path"), root), "/")
     stem = F.regexp_replace(F.element_at(parts, -1), r"\.parquet$", "")
     state = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).alias("values"), F.lit(True).alias("is_state")) for a in STATE])
@@ -114,7 +164,7 @@ def readings(spark: SparkSession, root: str, meta: Metadata, chosen: list[int] |
     return joined.select(*[c.split(" ")[0] for c in READINGS.split(", ")])
 
 
-def _camera_folder(meta: Metadata, camera: str) -> list[str]:
+def camera_folders(meta: Metadata, camera: str) -> list[str]:
     """Where a camera's frames may lie below an episode, the first that exists counting."""
     if meta.version is not None:
         return [f"cameras/{camera}"]
@@ -122,13 +172,13 @@ def _camera_folder(meta: Metadata, camera: str) -> list[str]:
 
 
 def _tar_index(batches):
+    """(container, name, offset, size) of the members of tars, of which only the headers are read."""
     for b in batches:
-        rows = []
-        for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            with tarfile.open(fileobj=io.BytesIO(content), mode="r:") as tar:
-                rows += [(path, m.name, m.offset_data, m.size) for m in tar if m.isfile()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["container", "name", "offset", "size"])
+        for path in b.column(0).to_pylist():
+            with opened(path) as f, tarfile.open(fileobj=f, mode="r:") as tar:
+                rows = [(path, m.name, m.offset_data, m.size) for m in tar if m.isfile()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["container", "name", "offset", "size"])
 
 
 def frames(spark: SparkSession, root: str, meta: Metadata, cameras: list[str], chosen: list[int] | None = None) -> DataFrame:
@@ -136,15 +186,15 @@ def frames(spark: SparkSession, root: str, meta: Metadata, cameras: list[str], c
     if not cameras or meta.num_episodes == 0 or (chosen is not None and not chosen):
         return spark.createDataFrame([], FRAMES)
     folders = _folders(root, meta, chosen)
-    names = spark.createDataFrame([(f, c, k) for c in cameras for k, f in enumerate(_camera_folder(meta, c))], "folder string, camera string, choice int")
-    files = listing(spark, folders, "*.{jpeg,jpg}")
+    names = spark.createDataFrame([(f, c, k) for c in cameras for k, f in enumerate(camera_folders(meta, c))], "folder string, camera string, choice int")
+    files = listing(spark, folders, "*")  # whatever lies in a camera's folder is a frame
     parts = F.split(below(F.col("path"), root), "/")
     loose = files.select("path", "size", F.get(parts, F.lit(0)).alias("episode_id"), F.array_join(F.slice(parts, 2, F.size(parts) - 2), "/").alias("folder"))
     loose = loose.join(F.broadcast(names), "folder")
     first = loose.groupBy("episode_id", "camera").agg(F.min("choice").alias("choice"))
     loose = loose.join(first, ["episode_id", "camera", "choice"])
     loose = loose.select("episode_id", "camera", file_name("path").alias("name"), "path", F.lit(None).cast("string").alias("container"), F.lit(0).cast("bigint").alias("offset"), "size")
-    tars = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tar").load(folders).select("path", "content")
+    tars = files.where(F.col("path").endswith(".tar")).select("path").repartition(spark.sparkContext.defaultParallelism)
     packed = tars.mapInArrow(_tar_index, "container string, name string, offset bigint, size bigint")
     parts = F.split(below(F.col("container"), root), "/")
     folder = F.regexp_replace(F.array_join(F.slice(parts, 2, F.size(parts)), "/"), r"\.tar$", "")
@@ -155,18 +205,18 @@ def frames(spark: SparkSession, root: str, meta: Metadata, cameras: list[str], c
     return both.withColumn("t_ns", frame_time_ns("name")).select(*[c.split(" ")[0] for c in FRAMES.split(", ")])
 
 
+def frame_bytes(path: str, container: str | None, offset: int, size: int) -> bytes:
+    """A frame's bytes: a whole file, or a range of a tar."""
+    with opened(container or path) as f:
+        return f.read_at(size, offset)
+
+
 def with_bytes(spark: SparkSession, frames_: DataFrame) -> DataFrame:
-    """``frames`` with their ``bytes``, read where the rows are: whole files, or a range of a tar."""
+    """``frames`` with their ``bytes``, read where the rows are."""
 
     def read(batches):
-        from pyarrow import fs
-
         for b in batches:
-            out = []
-            for path, container, offset, size in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("path", "container", "offset", "size"))):
-                store, place = fs.FileSystem.from_uri(container or path)
-                with store.open_input_file(place) as f:
-                    out.append(f.read_at(size, offset))
+            out = [frame_bytes(*p) for p in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("path", "container", "offset", "size")))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "bytes"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames_.schema)
@@ -174,23 +224,22 @@ def with_bytes(spark: SparkSession, frames_: DataFrame) -> DataFrame:
 
 
 def as_files(spark: SparkSession, frames_: DataFrame, folder: str) -> DataFrame:
-    """``frames_`` with a ``file`` of each: its own, or a copy below ``folder`` of one kept in a tar.
+    """``frames_`` with a ``file`` of each: a copy below ``folder``, so that one path names them all to a reader of files.
 
     ``folder`` is a path that every executor mounts. A copy appears by a rename once whole.
     """
 
     def write(batches):
         for b in batches:
-            for file, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for file, *place in zip(*(c.to_pylist() for c in b.columns)):
                 os.makedirs(os.path.dirname(file), exist_ok=True)
-                temp = f"{file}.{uuid4().hex}.tmp"
+                temp = f"{os.path.dirname(file)}/_{uuid4().hex}"
                 with open(temp, "wb") as f:
-                    f.write(data)
+                    f.write(frame_bytes(*place))
                 os.replace(temp, file)
             yield pa.RecordBatch.from_arrays([pa.array([len(b)], pa.int64())], ["n"])
 
-    copy = F.concat(F.lit(f"{folder}/episodes/"), F.sha2("path", 256), F.lit(".jpeg"))
-    out = frames_.withColumn("file", F.when(F.col("container").isNull(), F.col("path")).otherwise(copy))
-    packed = out.where(F.col("container").isNotNull()).select("path", "container", "offset", "size", "file").dropDuplicates(["file"])
-    with_bytes(spark, packed).select("file", "bytes").mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+    out = frames_.withColumn("file", F.concat(F.lit(f"{folder}/"), F.substring(F.sha2("path", 256), 1, 2), F.lit("/"), F.sha2("path", 256), F.lit(".jpeg")))
+    each = out.select("file", "path", "container", "offset", "size").dropDuplicates(["file"])
+    each.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
     return out

@@ -297,6 +297,83 @@ def test_exports_stop_where_a_camera_lacks_frames(spark, tmp_path, format):
     assert not list(tmp_path.glob("out/**/*.parquet"))
 
 
+def test_exports_need_the_encoder_or_go_without_videos(roots, spark, tmp_path):
+    d = Dataset(roots["0.3.0"], spark)
+    with pytest.raises(RuntimeError, match="no-such-encoder"):
+        d.write(tmp_path / "a", format="lerobot_v3.0", encoder="no-such-encoder")
+    assert not (tmp_path / "a").exists()
+    d.write(tmp_path / "b", format="lerobot_v3.0", videos=False, encoder="no-such-encoder", data_mb=7, video_mb=9)
+    assert not list(tmp_path.glob("b/videos/**/*.mp4")) and spark.read.parquet(str(tmp_path / "b/meta/frames")).count() == 16
+    info = json.loads((tmp_path / "b/meta/info.json").read_text())
+    assert (info["data_files_size_in_mb"], info["video_files_size_in_mb"]) == (7, 9) and "observation.images.head" in info["features"]
+    assert not [c for c in pd.read_parquet(tmp_path / "b/meta/episodes/chunk-000/file-000.parquet") if c.startswith("videos/")]
+
+
+def test_videos_hold_their_frames_in_order(roots, spark, tmp_path):
+    """Files are packed by the measured ratio; the stand-in encoder keeps 100 bytes of each frame."""
+    d = Dataset(roots["tar"], spark, ["head"])
+    first = bytes(d.load_camera("head", 0).read_bytes().first().bytes)[:100]
+    d.write(tmp_path / "one", format="lerobot_v3.0")
+    assert (tmp_path / "one/videos/observation.images.head/chunk-000/file-000.mp4").read_bytes() == first * 4
+    d.write(tmp_path / "two", format="lerobot_v3.0", video_mb=300 / 2**20, data_mb=1 / 2**20)
+    assert [(tmp_path / f"two/videos/observation.images.head/chunk-000/file-00{k}.mp4").read_bytes() for k in (0, 1)] == [first * 2] * 2
+    e = pd.read_parquet(tmp_path / "two/meta/episodes/chunk-000/file-000.parquet")
+    assert e["videos/observation.images.head/file_index"].tolist() == e["data/file_index"].tolist() == [0, 1]
+    d.write(tmp_path / "three", format="lerobot_v2.1")
+    assert (tmp_path / "three/videos/chunk-000/observation.images.head/episode_000001.mp4").read_bytes() == first * 2
+
+
+def test_a_dataset_behind_a_uri(roots, spark, tmp_path):
+    """A root that no path names is read through Spark alone."""
+    for v in (None, "0.3.0", "tar"):
+        d, local = Dataset(f"file://{roots[v]}", spark), Dataset(roots[v], spark)
+        assert not d.is_local and d.meta.data == local.meta.data and list(d.load_obs(0)) == list(local.load_obs(0))
+        assert d.load_camera("ceiling", 0).load_timestamps() == local.load_camera("ceiling", 0).load_timestamps()
+        assert [x.timestamp for x in d.sample(30, 0)] == [1772010251.6202147, 1772010251.653548]
+    with pytest.raises(ValueError, match="is no path"):
+        d.root_path
+
+
+def test_files_of_different_types(spark, tmp_path):
+    """Doubles beside floats, and times in microseconds beside nanoseconds, each file by its own footer."""
+    import pyarrow as pa
+
+    root = rec.write(spark, tmp_path / "d", "0.2.0")
+    t, x = rec.series(50, 8, 3)
+    t = [1000 * (v // 1000) for v in t]
+    rec.put(pa.table([pa.array(t, pa.timestamp("ns")), pa.array(list(x.astype(float) + 1e-12), pa.list_(pa.float64()))], ["timestamp", "value"]), root / "episodes/0/obs/arms/right/qpos.parquet")
+    rec.put(pa.table([pa.array([v // 1000 for v in t], pa.timestamp("us", "UTC")), pa.array(list(x), pa.list_(pa.float32()))], ["timestamp", "value"]), root / "episodes/0/obs/arms/left/qpos.parquet")
+    obs = Dataset(root, spark).load_obs(0)
+    right, left = (obs[f"arms/{s}/qpos"].toPandas() for s in ("right", "left"))
+    assert right.timestamp.tolist() == left.timestamp.tolist() == t
+    assert np.array_equal(right.iloc[:, 1:].to_numpy(), x.astype(float) + 1e-12) and np.array_equal(left.iloc[:, 1:].to_numpy(np.float32), x)
+
+
+def test_frames_of_any_kind_and_linked_copies(spark, tmp_path):
+    for cameras in ("dir", "tar"):
+        root = rec.write(spark, tmp_path / cameras, "0.1.0", cameras)
+        if cameras == "dir":
+            folder = root / "episodes/0/cameras/head"
+            for f in sorted(folder.iterdir()):
+                f.rename(f.with_suffix(".png"))
+        d = Dataset(root, spark)
+        assert d.load_camera("head", 0).num_frames == 3
+        maintenance.repair(d, tmp_path / f"copy-{cameras}")
+        copy = Dataset(tmp_path / f"copy-{cameras}", spark)
+        place = tmp_path / f"copy-{cameras}/episodes/0/cameras" / ("head" if cameras == "dir" else "head.tar")
+        assert place.is_symlink() and copy.meta.version == "0.3.0" and copy.camera_format == cameras
+        assert copy.load_camera("head", 0).load_timestamps() == d.load_camera("head", 0).load_timestamps()
+
+
+def test_unknown_recordings_are_errors(roots, tmp_path):
+    from kinetrace.sources.metadata import Metadata
+
+    doc = yaml.safe_load((roots[None] / "metadata.yaml").read_text())
+    del doc["meta"]["equipment"]["leader"]["arms"]["right_arm"]["name"]
+    with pytest.raises(ValueError, match="has no name"):
+        Metadata(doc["meta"]).equipment
+
+
 def test_long_series(roots, spark, tmp_path):
     d = Dataset(roots["0.3.0"], spark)
     d.write(tmp_path, format="rrd", fps=30)

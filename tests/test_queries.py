@@ -104,7 +104,7 @@ def test_quantiles_by_rank_are_those_of_buffers(spark, monkeypatch, keys, accura
     r = np.random.default_rng(1)
     n = 24_000
     x = np.where(r.random(n) < 0.3, 5.0, r.normal(0, 10, n)).round(2)
-    rows = [(int(g), int(h), None if i % 50 == 0 else float("nan") if i % 50 == 1 else float(v)) for i, (g, h, v) in enumerate(zip(r.random(n) < 0.05, r.integers(0, 3, n), x))]
+    rows = [(int(g), int(h) or None, None if i % 50 == 0 else float("nan") if i % 50 == 1 else float(v)) for i, (g, h, v) in enumerate(zip(r.random(n) < 0.05, r.integers(0, 3, n), x))]
     df = spark.createDataFrame([*rows, (7, 7, None), (8, None, 1.0), (8, None, 2.0)], "g int, h int, v double").repartition(4)
     want = stats.describe(df, "v", *keys).collect()
     monkeypatch.setattr(stats, "HELD", 500)
