@@ -11,9 +11,10 @@ every further level of one tree with probability 0.88 at least.
 Equal sets are one class from the start. What is large after one level is mostly a group of near copies, of
 which a small part of the links is enough. So the first pass cuts large nodes into random blocks and
 compares within those; its confirmed links give first components, and only nodes whose sets lie in two or more
-of them branch on. They do so until they are small. Only two kinds of large nodes are compared exhaustively, block
-by block, each set outside the node's largest component against all: those that tokens do not take apart, if at
-most ``FEW`` sets are outside, and what is left at ``DEPTH`` levels.
+of them branch on. Large nodes with at most ``FEW`` sets outside their largest component are compared exhaustively,
+block by block, each set outside against all, once tokens do not take them apart or ``SETTLED`` levels are
+grown; so a set has a bounded number of comparisons there. Others branch on until they are small, and only
+what is left at ``DEPTH`` levels is compared whatever its size.
 
 Signatures only choose pairs: every pair whose tokens agree in at least ``LOWEST`` (or ``FINE_LOWEST``) of the
 coordinates is confirmed on the full sets of its whole texts. Within a node, pairs that nearly surely link are
@@ -41,7 +42,7 @@ DEPTH = 24
 LEAF = 64
 BLOCK = 256
 #: Sets outside the largest component of a large node that are compared with all of it, at most, before ``DEPTH``.
-FEW = 4096
+FEW, SETTLED = 1 << 16, 3
 #: Shingles of a pair above which it is confirmed alone, and not with the other pairs of the place where it was found.
 LONG = 50_000
 #: Ids broadcast to the scan of the texts, at most (some 40 bytes each); more meet them in a shuffle.
@@ -488,7 +489,8 @@ class _Join:
             nodes = each.groupBy("node").agg(F.max(F.struct("n", "label")).alias("m"), F.first("size").alias("size"), F.first("parent").alias("parent"))
             nodes = nodes.select("node", "size", F.col("m.label").alias("main"), (F.col("size") - F.col("m.n")).alias("outside"), "parent")
             # a child with most of its parent's sets is a dense group, which more levels take apart slowly
-            dense = (2 * F.col("size") > F.col("parent")) & (F.col("outside") <= FEW) if level < DEPTH - 1 else F.lit(True)
+            dense = 2 * F.col("size") > F.col("parent") if level < SETTLED else F.lit(True)
+            dense = dense & (F.col("outside") <= FEW) if level < DEPTH - 1 else F.lit(True)
             nodes = stored(nodes.select("node", "size", "main", "outside", dense.alias("dense")), "large")
             rows = join_groups(large.drop("size", "parent"), nodes, ["node"], "size", large.count())
             pairs = pairs.unionByName(self.remaining(rows.where("dense")))
