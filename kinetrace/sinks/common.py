@@ -8,6 +8,7 @@ import shutil
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cached_property
 from itertools import groupby
 from pathlib import Path
 from uuid import uuid4
@@ -73,6 +74,8 @@ class Export:
 
     def close(self) -> None:
         self.vectors.unpersist()
+        if "_shown" in self.__dict__:
+            self._shown.unpersist()
         self.table.unpersist()
 
     @property
@@ -83,11 +86,15 @@ class Export:
     def tasks(self) -> list[tuple[int, str]]:
         return sorted({(r["new_task_index"], r["prompt"]) for r in self.rows})
 
-    def shown(self) -> DataFrame:
-        """(episode_index, camera, k, path, container, offset, size): the frame that each row shows of each camera."""
+    @cached_property
+    def _shown(self) -> DataFrame:
         long = self.frames.select("episode_index", "episode_pos", F.col("frame_index").alias("k"), F.explode("cameras").alias("camera", "path"))
         pointers = self.dataset.frames([r["episode_pos"] for r in self.rows]).select("path", "container", "offset", "size", "episode_pos", "camera")
-        return long.join(pointers, ["episode_pos", "camera", "path"]).drop("episode_pos")
+        return long.join(pointers, ["episode_pos", "camera", "path"]).drop("episode_pos").persist()
+
+    def shown(self) -> DataFrame:
+        """(episode_index, camera, k, path, container, offset, size): the frame that each row shows of each camera."""
+        return self._shown
 
     def check_cameras(self) -> None:
         """An error unless every episode shows a frame of each camera in each row."""

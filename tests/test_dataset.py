@@ -313,8 +313,6 @@ def test_videos_hold_their_frames_in_order(roots, spark, tmp_path):
     """Files are packed by the measured ratio; the stand-in encoder keeps 100 bytes of each frame."""
     d = Dataset(roots["tar"], spark, ["head"])
     first = bytes(d.load_camera("head", 0).read_bytes().first().bytes)[:100]
-    d.write(tmp_path / "one", format="lerobot_v3.0")
-    assert (tmp_path / "one/videos/observation.images.head/chunk-000/file-000.mp4").read_bytes() == first * 4
     d.write(tmp_path / "two", format="lerobot_v3.0", video_mb=300 / 2**20, data_mb=1 / 2**20)
     assert [(tmp_path / f"two/videos/observation.images.head/chunk-000/file-00{k}.mp4").read_bytes() for k in (0, 1)] == [first * 2] * 2
     e = pd.read_parquet(tmp_path / "two/meta/episodes/chunk-000/file-000.parquet")
@@ -325,7 +323,7 @@ def test_videos_hold_their_frames_in_order(roots, spark, tmp_path):
 
 def test_a_dataset_behind_a_uri(roots, spark, tmp_path):
     """A root that no path names is read through Spark alone."""
-    for v in (None, "0.3.0", "tar"):
+    for v in (None, "tar"):
         d, local = Dataset(f"file://{roots[v]}", spark), Dataset(roots[v], spark)
         assert not d.is_local and d.meta.data == local.meta.data and list(d.load_obs(0)) == list(local.load_obs(0))
         assert d.load_camera("ceiling", 0).load_timestamps() == local.load_camera("ceiling", 0).load_timestamps()
