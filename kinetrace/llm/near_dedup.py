@@ -382,7 +382,6 @@ class _Join:
 
     def __init__(self, texts: DataFrame, classes: DataFrame, threshold: int, size: int):
         self.texts, self.classes, self.threshold, self.size = texts, classes, threshold, size
-        self.total = classes.count()
 
     def whole_texts(self, wanted: DataFrame) -> DataFrame:
         """A stored table (v, c, text) of the classes ``wanted`` (v, c)."""
@@ -422,11 +421,15 @@ class _Join:
         return stored(sizes.join(own, ["c0", "c1"], "left").select("c", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")), "sharing")
 
     def several(self, rows: DataFrame) -> DataFrame:
-        """Rows (node, block, label, ...) of blocks that hold several labels, with the block's ``size``."""
-        rows = stored(rows, "rows")  # read three times from here
+        """Rows (node, block, label, ...) of blocks that hold several labels, with the block's ``size``.
+
+        Most rows are in no such block, so one join drops them. Few blocks are broadcast; with many, Spark splits a
+        partition that a large block fills, for which both sides must come straight from a shuffle: so blocks are stored.
+        """
+        rows = stored(rows, "rows")  # read twice from here
         groups = rows.groupBy("node", "block").agg(F.count("*").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-        groups = groups.where(F.col("l0") != F.col("l1")).select("node", "block", "size")
-        return join_groups(rows, groups, ["node", "block"], "size", self.total * TREES)
+        groups = stored(groups.where(F.col("l0") != F.col("l1")).select("node", "block", "size"), "blocks")
+        return rows.join(groups, ["node", "block"])
 
     def signed(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.classes.select("c", "sig", "n"), "c")

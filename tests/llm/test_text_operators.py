@@ -154,6 +154,41 @@ def test_near_dedup_of_dense_nodes(spark, monkeypatch, few):
     assert got == label and len(set(label.values())) > 1
 
 
+def joins_of(plan):
+    """(name, rows made) of each join that ran."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return joins_of(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return joins_of(plan.plan())
+    below = plan.children()
+    out = [x for k in range(below.size()) for x in joins_of(below.apply(k))]
+    return [*out, (name, plan.metrics().apply("numOutputRows").value())] if "Join" in name else out
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_near_dedup_joins_make_only_rows_of_mixed_nodes(spark, broadcast):
+    """Small and large nodes of one label and of several: no join may pass rows that no node needs."""
+    sizes = {1: 2, 2: 2, 3: 300, 4: 6000, 5: 6000} | {100 + k: 1 for k in range(4000)}
+    rows = [(n, 0, k if n in (2, 4) else 0, i) for i, (n, k) in enumerate((n, k) for n, m in sizes.items() for k in range(m))]
+    df = spark.createDataFrame(rows, "node bigint, block bigint, label bigint, v bigint").repartition(8)
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k"}
+    settings |= {} if broadcast else {"spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = near_dedup._Join(df, df.limit(1), 75, 5).several(df)
+        got = out.collect()
+        joins = joins_of(out._jdf.queryExecution().executedPlan())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((x.node, x.block, x.label, x.v, x["size"]) for x in got) == sorted((*x, sizes[x[0]]) for x in rows if x[0] in (2, 4))
+    assert joins and max(n for _, n in joins) <= len(got), joins
+    assert broadcast or "SortMergeJoin(skew=true)" in [name for name, _ in joins]  # a large node is split among tasks
+
+
 def test_near_dedup_of_ids_with_two_texts(spark):
     """A pair that links, beside a less similar one of the same two ids with more shingles of its own."""
     r = np.random.default_rng(12)
